@@ -1,3 +1,54 @@
 """DuckDB SQL for the queries that SQL can express, written apart from the operators."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, text, string_split(text, chr(10)) l FROM documents
+), placed AS (
+    SELECT doc_id, k AS pos, l[k] AS unit,
+        CAST(coalesce(list_sum(list_transform(l[1:k-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
+    FROM lines, unnest(range(1, len(l) + 1)) t(k)
+), plain AS (
+    SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS p FROM placed
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id, pos) AS r,
+        len(string_split(p, ' ')) >= 5 AS counts
+    FROM plain
+), per_doc AS (
+    SELECT doc_id, count(*) AS n_units,
+        count(*) FILTER (WHERE counts AND r > 1) AS n_removed,
+        CAST(coalesce(sum(length(unit)) FILTER (WHERE counts AND r > 1), 0) AS BIGINT) AS chars_removed,
+        coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY pos) FILTER (WHERE counts AND r > 1), '') AS removed,
+        coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (WHERE NOT (counts AND r > 1)), '') AS kept
+    FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
+    coalesce(chars_removed, 0) AS chars_removed, coalesce(removed, '') AS removed, kept
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
+ORACLE["op4_prefix_decontamination"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+    FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+    FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS s
+    FROM i, unnest(range(1, greatest(2, len(w) - 8))) t(k) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT n FROM win), places AS (
+    SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS s
+    FROM d, lens, unnest(range(1, len(w) - n + 2)) t(k)
+), hit AS (SELECT doc_id, k, n, item_id FROM places JOIN win USING (n, s)
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

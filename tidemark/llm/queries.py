@@ -4,11 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_counts, token_ids
+from . import decontaminate, line_dedup, token_counts, token_ids
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_units, n_removed, chars_removed, removed (start-stop character offsets), kept (the text left)."""
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    gone = F.coalesce("__removed", F.array().cast(found.schema["__removed"].dataType))
+    n_units = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return found.select(
+        "doc_id",
+        n_units.cast("long").alias("n_units"),
+        F.size(gone).cast("long").alias("n_removed"),
+        F.aggregate(gone, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]).alias("chars_removed"),
+        F.array_join(F.transform(gone, lambda r: F.concat_ws("-", r["start"].cast("string"), r["stop"].cast("string"))), ",").alias("removed"),
+        F.col("__kept").alias("kept"),
+    )
+
+
+def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op8_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -18,4 +39,4 @@ def op9_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(pages)
 
 
-QUERIES = {f.__name__: f for f in (op8_whole_token_counts, op9_simple8b_ids)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op8_whole_token_counts, op9_simple8b_ids)}
