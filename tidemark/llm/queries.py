@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, token_counts, token_ids
+from . import decontaminate, language_id, line_dedup, token_counts, token_ids
 from .common import documents
 
 
@@ -30,6 +30,13 @@ def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op7_marginal_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "__language.lang_pred", "__language.score")
+
+
 def op8_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,4 +46,4 @@ def op9_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(pages)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op8_whole_token_counts, op9_simple8b_ids)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids)}
