@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, decontaminate, language_id, line_dedup, token_counts, token_ids
+from . import bag_minhash, decontaminate, language_id, line_dedup, packing, token_counts, token_ids
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class of near copies."""
     return bag_minhash.classes(documents(spark, sf_dir)).select("doc_id", "class_id")
@@ -51,4 +55,4 @@ def op9_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(pages)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids)}
