@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, decontaminate, language_id, line_dedup, packing, token_counts, token_ids
+from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, token_counts, token_ids
 from .common import documents
 
 
@@ -55,4 +55,8 @@ def op9_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(pages)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids)}
+def op10_bwt_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.dedup_bytes(documents(spark, sf_dir)).drop("removed")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
