@@ -52,3 +52,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLE["op2_divergence_quality"] = r"""
+WITH d AS (
+    SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) u(k)
+), twice AS (
+    SELECT doc_id, k FROM windows JOIN (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1) USING (doc_id, s)
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM twice) GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+    SELECT doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), classes AS (
+    SELECT doc_id, lang, unnest(['a', 'A', 'x', '0', '_', '.', 'o']) AS c, unnest([a, u, x, n, s, p, length(t) - a - u - x - n - s - p]) AS n
+    FROM (SELECT doc_id, lang, t, length(regexp_replace(t, '[^a-z]', '', 'g')) AS a, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS u,
+        length(regexp_replace(t, '[a-zA-Z]|[^\p{L}]', '', 'g')) AS x, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n,
+        length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS s, length(regexp_replace(t, '[^.,;:!?]', '', 'g')) AS p FROM d)
+), forms AS (
+    SELECT doc_id, lang, trim(lower(f), '.,;:!?"''()') AS f FROM (SELECT doc_id, lang, unnest(w) AS f FROM d)
+), common AS (
+    SELECT lang, f FROM (SELECT lang, f, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, f) AS r FROM forms WHERE f <> '' GROUP BY lang, f) WHERE r <= 30
+), folded AS (
+    SELECT doc_id, lang, coalesce(c.f, '') AS c, count(*) AS n FROM forms LEFT JOIN common c USING (lang, f) GROUP BY ALL
+), counts AS (SELECT 1 AS kind, * FROM classes UNION ALL SELECT 2, * FROM folded
+), share AS (SELECT kind, doc_id, lang, c, n / sum(n) OVER (PARTITION BY kind, doc_id) AS p FROM counts WHERE n > 0
+), reference AS (SELECT kind, lang, c, sum(n) / sum(sum(n)) OVER (PARTITION BY kind, lang) AS q FROM counts GROUP BY kind, lang, c HAVING sum(n) > 0
+), pairs AS (
+    SELECT kind, doc_id, coalesce(p, 0) AS p, q FROM (SELECT DISTINCT kind, doc_id, lang FROM share) JOIN reference USING (kind, lang) LEFT JOIN share USING (kind, doc_id, lang, c)
+), js AS (
+    SELECT kind, doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2)) AS js FROM pairs GROUP BY kind, doc_id
+), judged AS (
+    SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        CASE WHEN n_words >= 50 THEN a.js END AS class_js, CASE WHEN n_words >= 50 THEN b.js END AS word_js
+    FROM base LEFT JOIN js a ON a.doc_id = base.doc_id AND a.kind = 1 LEFT JOIN js b ON b.doc_id = base.doc_id AND b.kind = 2
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(class_js <= 0.3 AND word_js <= 0.45, true) AS kept,
+    round(class_js, 4) AS class_distance, round(word_js, 4) AS word_distance
+FROM judged
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, token_counts, token_ids
+from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, quality, token_counts, token_ids
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
 def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
@@ -59,4 +63,4 @@ def op10_bwt_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.dedup_bytes(documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
