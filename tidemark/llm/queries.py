@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, quality, token_counts, token_ids
+from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, quality, token_counts, token_ids, transcripts
 from .common import documents
 
 
@@ -29,6 +29,13 @@ def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, block, n_lines, n_turns, roles and the canonical text of every conversation."""
+    raw = transcripts.labelled(documents(spark, sf_dir, "conversations"))
+    model = transcripts.fit(raw.filter(~language_id.held_out(F.col("conv_id"))))
+    return transcripts.parse(raw, model).drop("part", "found")
+
+
 def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
@@ -63,4 +70,4 @@ def op10_bwt_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.dedup_bytes(documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op3_transcript_hmm, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
