@@ -28,13 +28,13 @@ CONTEXT = "supply_shortage lead_time_change customer_complaint_frequency short_i
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    """signal_type, signal_class, is_adoption, taxonomy_proxy, direction: a row for each known type."""
+    """signal_type, signal_class, is_adoption, taxonomy_proxy, bullish (up, down, context): a row for each known type."""
     rows = [(t, c, t in ADOPTION, t in PROXY, "down" if t in DOWN else "context" if t in CONTEXT else "up") for c, types in CLASSES.items() for t in types.split()]
-    return spark.createDataFrame(rows, "signal_type string, signal_class string, is_adoption boolean, taxonomy_proxy boolean, direction string")
+    return spark.createDataFrame(rows, "signal_type string, signal_class string, is_adoption boolean, taxonomy_proxy boolean, bullish string")
 
 
 def classified(signals: DataFrame) -> DataFrame:
     """`signals` (signal_type) with the taxonomy's columns; unknown types are 'manual', 'context'."""
     dim = F.broadcast(taxonomy(signals.sparkSession))  # a row for each type: fixed size
     out = signals.join(dim, "signal_type", "left")
-    return out.fillna({"signal_class": "manual", "is_adoption": False, "taxonomy_proxy": False, "direction": "context"})
+    return out.fillna({"signal_class": "manual", "is_adoption": False, "taxonomy_proxy": False, "bullish": "context"})
