@@ -7,11 +7,16 @@ row number, so all measures of a series come from one sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("series")
-IN_TIME = BY.orderBy("at", "value")
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("series")
+
+
+def in_time() -> WindowSpec:
+    return by_series().orderBy("at", "value")
 
 
 def pct(current: Column, previous: Column) -> Column:
@@ -25,7 +30,7 @@ def usable(obs: DataFrame) -> DataFrame:
 
 def ranked(obs: DataFrame) -> DataFrame:
     """Usable points with i (0, 1, ... in time), n (points of the series) and r (1 = the last)."""
-    points = usable(obs).withColumn("i", F.row_number().over(IN_TIME) - 1).withColumn("n", F.count("*").over(BY))
+    points = usable(obs).withColumn("i", F.row_number().over(in_time()) - 1).withColumn("n", F.count("*").over(by_series()))
     return points.withColumn("r", F.col("n") - F.col("i"))
 
 
@@ -36,13 +41,13 @@ def daily_counts(events: DataFrame, key: str, ts: str) -> DataFrame:
 
 def chained(obs: DataFrame) -> DataFrame:
     """Each point with the one before and the change between them."""
-    before = F.lag("value").over(IN_TIME)
+    before = F.lag("value").over(in_time())
     return usable(obs).withColumn("previous", before).withColumn("change_pct", pct(F.col("value"), before))
 
 
 def moving_average(obs: DataFrame, window: int = 7) -> DataFrame:
     """Rolling mean, null until the window is full."""
-    w = IN_TIME.rowsBetween(1 - window, 0)
+    w = in_time().rowsBetween(1 - window, 0)
     return usable(obs).withColumn("moving_average", F.when(F.count("value").over(w) == window, F.avg("value").over(w)))
 
 
@@ -64,7 +69,7 @@ def statistics(obs: DataFrame, window: int = 7, history: int = 30, alpha: float
     v, r = F.col("value"), F.col("r")
     total = obs.groupBy("series").agg(F.count("*").alias("rows"))
     in_history = (r >= 2) & (r <= history + 1)
-    left, right = IN_TIME.rowsBetween(Window.unboundedPreceding, -1), IN_TIME.rowsBetween(0, Window.unboundedFollowing)
+    left, right = in_time().rowsBetween(Window.unboundedPreceding, -1), in_time().rowsBetween(0, Window.unboundedFollowing)
     shift = F.abs(F.avg("value").over(right) - F.avg("value").over(left)) / F.sqrt(F.nullif(F.var_samp("value").over(left) / F.col("i") + F.var_samp("value").over(right) / r, F.lit(0.0)))
     split_at = (F.col("i") >= 5) & (F.col("i") < F.col("n") - 5)
     points = ranked(obs).withColumn("shift", F.when(split_at, F.round(shift, 9)))
@@ -104,9 +109,9 @@ def growth_profile(obs: DataFrame) -> DataFrame:
     v, i, n, at = F.col("value"), F.col("i"), F.col("n"), F.col("at")
     totals = obs.groupBy("series").agg((F.count("*") - F.count(F.when((F.col("status") == "ok") & v.isNotNull(), 1))).alias("missing_count"))
     p = ranked(obs)
-    p = p.withColumn("last_at", F.max("at").over(BY)).withColumn("peak", F.max(F.struct("value", (-i).alias("neg"))).over(BY))
+    p = p.withColumn("last_at", F.max("at").over(by_series())).withColumn("peak", F.max(F.struct("value", (-i).alias("neg"))).over(by_series()))
     p = p.withColumn("peak_i", -F.col("peak.neg")).withColumn("peak_value", F.col("peak.value"))
-    p = p.withColumn("others", F.percentile(F.when(i != F.col("peak_i"), v), F.lit(0.5)).over(BY))
+    p = p.withColumn("others", F.percentile(F.when(i != F.col("peak_i"), v), F.lit(0.5)).over(by_series()))
     back = lambda days: at <= F.col("last_at") - F.make_dt_interval(F.lit(days))
     earlier = lambda days: F.max_by(F.when(back(days), v), F.when(back(days), i))
     recent = at >= F.col("last_at") - F.make_dt_interval(F.lit(30))
@@ -138,7 +143,7 @@ def growth_profile(obs: DataFrame) -> DataFrame:
     q, rest = F.floor(n / blocks), n % blocks
     block = F.when(i < rest * (q + 1), F.floor(i / (q + 1))).otherwise(rest + F.floor((i - rest * (q + 1)) / q))
     means = p.filter("n >= 6").groupBy("series", block.alias("block")).agg(F.avg("value").alias("m"))
-    rises = means.withColumn("before", F.lag("m").over(BY.orderBy("block"))).groupBy("series").agg(F.round(F.count(F.when(F.col("m") > F.col("before"), 1)) / F.count("before"), 4).alias("persistence"))
+    rises = means.withColumn("before", F.lag("m").over(by_series().orderBy("block"))).groupBy("series").agg(F.round(F.count(F.when(F.col("m") > F.col("before"), 1)) / F.count("before"), 4).alias("persistence"))
     days = F.floor((F.unix_timestamp("last_at") - F.unix_timestamp("first_at")) / 86400)
     neighbour = F.least(*[F.when(F.col(c) > 0, F.col(c)) for c in ("before_peak", "after_peak")])
     ratio, local = F.col("peak_value") / F.col("others"), F.col("peak_value") / neighbour

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import series_queries, text_queries, trend_queries
+from . import market_queries, opportunity_queries, series_queries, stream_queries, text_queries, trend_queries
 
-MODULES = (series_queries, trend_queries, text_queries)
+MODULES = (series_queries, trend_queries, text_queries, opportunity_queries, market_queries, stream_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
