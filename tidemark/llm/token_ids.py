@@ -16,6 +16,7 @@ empty table; further columns are not returned.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .common import bounded_batches, stored
 
-CACHE = 600_000  # pieces of text a worker remembers; when full it starts afresh
+CACHE = 900_000  # pieces of text a worker remembers; when full it starts afresh
 PAGE_IDS, PAGE_DOCS = 1 << 18, 4096
 
 
@@ -70,6 +71,13 @@ class Encoder:
             return b"".join([self.known[p] for p in pieces])
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    """One for all tasks of a Python worker, so that later tasks find the pieces of earlier ones."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
+    return Encoder(model)
+
+
 def write(docs: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pages of `docs`, stored in the shared folder, in ascending order of ids by (part, page)."""
     spark = docs.sparkSession
@@ -79,8 +87,7 @@ def write(docs: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id",
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
-        encoder, part, page, start = Encoder(model.value), TaskContext.get().partitionId(), 0, 0
+        encoder, part, page, start = _encoder(model.value), TaskContext.get().partitionId(), 0, 0
         ids, lengths, held, size = [], [], [], 0
 
         def flush():
