@@ -145,3 +145,31 @@ def next_state(score: Column, confidence: Column, peak: Column, previous: Column
         F.when(skeptic == "reject", "invalidated").when(days > 120, "archived").when((peak - score >= 18) & strong, "weakening")
         .when((score >= 70) & (confidence >= 65) & (risk != "very_high"), "strong_evidence").when((score >= 55) & (confidence >= 45), "promising").when(score >= 35, "watchlist").otherwise("candidate")
     )
+
+
+def skeptic() -> dict[str, Column]:
+    """What speaks against a scored candidate: points off the confidence (never more than 60, never
+    below nothing), the probability of manipulation, and a status. Columns valuation and
+    willingness_to_pay hold an analysis's finding, duplication_ratio the share of copied coverage."""
+    use, talk, hit = c("adoption_growth"), c("attention_growth"), lambda when, points: F.when(F.coalesce(when, F.lit(False)), float(points)).otherwise(0.0)
+    flagged = lambda name: F.array_contains("flags", name)
+    loud = (c("adoptions") > 0) & (talk > use * 2.5) & (talk > 30)
+    manipulation = F.greatest(hit(loud, 0.3), hit(c("duplication_ratio") >= 0.4, 0.4), hit(flagged("promotional_manipulation"), 0.6), hit(flagged("anonymous_team"), 0.5))
+    late = c("stage").isin("mainstream", "mature") | (c("awareness") == "high") | F.coalesce(c("competitor_count") >= 15, F.lit(False))
+    points = (
+        hit(c("adoptions") == 0, 15) + hit(loud, 10) + hit(c("groups") < 2, 12) + hit(c("duplication_ratio") >= 0.4, 8) + hit(c("reliability") < 0.55, 8) + hit(c("stage").isin("mainstream", "mature"), 8)
+        + hit(c("competitor_count") >= 15, 6) + hit(c("valuation") == "extreme", 10) + hit(c("valuation") == "not_assessed", 8) + hit(c("willingness_to_pay") == "unknown", 10)
+        + hit(F.coalesce("market_size_band", F.lit("unknown")).isin("tiny", "unknown"), 6) + hit(c("history_days") < 120, 8) + hit(c("markers") == 0, 6) + hit(flagged("regulatory_uncertainty"), 6) + hit(manipulation >= 0.5, 12)
+    )
+    reduction = F.least(F.lit(60.0), points)
+    status = (
+        F.when(manipulation >= 0.6, "possible_manipulation").when((c("risk_level") == "very_high") & (c("adoptions") == 0), "reject").when(c("adoptions") == 0, "insufficient_evidence")
+        .when(reduction >= 40, "high_speculation").when(late, "watch_only").when((reduction <= 12) & (c("groups") >= 2), "strong_evidence").otherwise("continue_research")
+    )
+    return {"manipulation": manipulation, "confidence_reduction": reduction, "skeptic_status": status}
+
+
+def adoption_to_attention(use: Column, talk: Column) -> Column:
+    """How much faster use grows than talk; both are shifted so that falling ones keep the sense."""
+    shift = 1 + F.greatest(F.lit(0.0), -F.least(use, talk))
+    return F.when(use.isNotNull() & talk.isNotNull(), F.round((use + shift) / F.nullif(talk + shift, F.lit(0.0)), 3))
