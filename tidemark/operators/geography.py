@@ -63,3 +63,16 @@ def rate_as_of(needs: DataFrame, rates: DataFrame) -> DataFrame:
     both = rates.select("base", "quote", "rate", F.col("as_of").alias("rated"), F.lit(0).alias("inverse")).unionByName(rates.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.nullif("rate", F.lit(0.0))).alias("rate"), F.col("as_of").alias("rated"), F.lit(1).alias("inverse")))
     hits = needs.join(both, ["base", "quote"]).filter("rated <= as_of").groupBy("id").agg(F.min_by("rate", F.struct("inverse", (-F.unix_timestamp("rated")).alias("age"))).alias("rate"))
     return needs.join(hits, "id", "left").withColumn("rate", F.when(F.col("base") == F.col("quote"), 1.0).otherwise(F.col("rate")))
+
+
+def localization(readings: DataFrame, similar: DataFrame, least_similar: float = 0.6, least_gap: float = 25.0) -> DataFrame:
+    """Markets that a subject is weak in though it is strong in similar ones.
+
+    readings: subject, country, status, growth (null: not measured); similar: country, other, similarity.
+    Weak is checked and empty, or growing under 8; a market without data is no candidate. Of the similar
+    strong markets the most similar is named."""
+    strong = readings.filter((F.col("status") == "measured") & (F.col("growth") >= 25)).select("subject", F.col("country").alias("other"), F.col("growth").alias("other_growth"))
+    weak = readings.filter((F.col("status") == "no_signal") | ((F.col("status") == "measured") & (F.col("growth") < 8))).select("subject", "country", F.coalesce("growth", F.lit(0.0)).alias("growth"))
+    pairs = weak.join(similar.filter(F.col("similarity") >= least_similar), "country").join(strong, ["subject", "other"])
+    best = pairs.groupBy("subject", "country").agg(F.max_by(F.struct("other", "similarity", (F.col("other_growth") - F.col("growth")).alias("gap")), F.struct("similarity", "other")).alias("b"))
+    return best.filter(F.col("b.gap") >= least_gap).select("subject", "country", F.col("b.other").alias("model"), F.round("b.similarity", 4).alias("similarity"), F.round("b.gap", 4).alias("gap"))

@@ -173,3 +173,23 @@ def adoption_to_attention(use: Column, talk: Column) -> Column:
     """How much faster use grows than talk; both are shifted so that falling ones keep the sense."""
     shift = 1 + F.greatest(F.lit(0.0), -F.least(use, talk))
     return F.when(use.isNotNull() & talk.isNotNull(), F.round((use + shift) / F.nullif(talk + shift, F.lit(0.0)), 3))
+
+
+# Severity of the risk that stands behind a flag.
+SEVERITY = {
+    "attention_without_adoption": "high", "weak_adoption_evidence": "high", "extreme_valuation": "high", "extreme_competition": "high", "easily_copied": "medium", "regulatory_uncertainty": "high",
+    "supply_chain_fragility": "high", "single_supplier": "high", "single_customer": "high", "poor_liquidity": "high", "concentrated_ownership": "high", "anonymous_team": "high",
+    "promotional_manipulation": "high", "poor_economics": "high", "excessive_capital": "medium", "difficult_local_execution": "medium", "already_mainstream": "medium", "tiny_market": "medium",
+}
+
+
+def risk_level(codes: Column) -> Column:
+    """The worst finding dominates, nothing is averaged: blocking, or three high risks, are very high, one
+    high risk is high, any medium one moderate. An early stage is a medium risk itself; a crypto asset
+    is never below high. `hints` of an analysis are an array of severities."""
+    of = lambda severity: F.size(F.array_intersect(codes, F.array(*[F.lit(k) for k, v in SEVERITY.items() if v == severity])))
+    hinted = lambda severity: F.size(F.filter("hints", lambda x: x == severity))
+    high = of("high") + hinted("high")
+    medium = of("medium") + hinted("medium") + c("stage").isin("weak_signal", "emerging").cast("int")
+    level = F.when((hinted("blocking") > 0) | (high >= 3), "very_high").when(high > 0, "high").when(medium > 0, "moderate").otherwise("low")
+    return F.when((c("opportunity_type") == "crypto") & level.isin("low", "moderate"), "high").otherwise(level)

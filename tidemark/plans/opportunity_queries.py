@@ -32,8 +32,9 @@ def _context(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    p = TQ.profiles(spark, sf_dir).select("subject", "signal_type", "signal_class", c("source_group"), "reliability", "is_proxy", "is_adoption", "growth_30d", F.datediff(F.lit(B.AS_OF).cast("date"), "last_at").alias("days_since_latest"))
-    t = TQ.trends(spark, sf_dir).select("subject", "is_one_day_spike", "is_seasonal", "state", "stage", "trend_score", "confidence", "observation_count", "missing_count", "history_days")
+    known = TQ.profiles(spark, sf_dir).persist()  # a row a series, read by facts and trends
+    p = known.select("subject", "signal_type", "signal_class", c("source_group"), "reliability", "is_proxy", "is_adoption", "growth_30d", F.datediff(F.lit(B.AS_OF).cast("date"), "last_at").alias("days_since_latest"))
+    t = TQ.trends(spark, sf_dir, known).select("subject", "is_one_day_spike", "is_seasonal", "state", "stage", "trend_score", "confidence", "observation_count", "missing_count", "history_days")
     rows = O.facts_of(p).join(t, "subject").join(_context(spark, sf_dir), "subject")
     return O.candidate_types(rows.withColumn("entity_types", F.array("entity_type")))
 

@@ -89,3 +89,29 @@ def digest_sections(spark, sf_dir):
     n = B.table(spark, sf_dir, "nation")
     watched = n.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("u"), c("n_name").alias("subject"), "n_nationkey").withColumn("user_id", c("u").cast("bigint")).select("user_id", "subject", (c("n_nationkey") % 5 == c("user_id")).alias("is_watched"))
     return M.digest(MQ._changes(spark, sf_dir), F.broadcast(watched), "2001-06-01", "2001-07-01")  # five users a nation
+
+
+HIGH, MEDIUM = (", ".join(f"'{k}'" for k, v in O.SEVERITY.items() if v == s) for s in ("high", "medium"))
+
+
+@query(f"""{OQ.CANDIDATES}, r AS (SELECT *, len(list_filter(codes, lambda x: x IN ({HIGH}))) + CASE WHEN k % 9 = 1 THEN 1 ELSE 0 END AS hi, len(list_filter(codes, lambda x: x IN ({MEDIUM}))) + CASE WHEN stage IN ('weak_signal', 'emerging') THEN 1 ELSE 0 END AS me FROM done),
+l AS (SELECT *, CASE WHEN k % 9 = 0 OR hi >= 3 THEN 'very_high' WHEN hi > 0 THEN 'high' WHEN me > 0 THEN 'moderate' ELSE 'low' END AS level FROM r)
+SELECT subject, opportunity_type, CASE WHEN opportunity_type = 'crypto' AND level IN ('low', 'moderate') THEN 'high' ELSE level END AS risk_level FROM l""")
+def opp_risk(spark, sf_dir):
+    k = F.substring_index("subject", "_", -1).cast("int")
+    hints = F.when(k % 9 == 0, F.array(F.lit("blocking"))).when(k % 9 == 1, F.array(F.lit("high"))).otherwise(F.array().cast("array<string>"))
+    rows = OQ.scored(spark, sf_dir).withColumn("hints", hints)
+    return rows.select("subject", "opportunity_type", O.risk_level(F.array_union("penalties", "flags")).alias("risk_level"))
+
+
+@query(f"""WITH {MQ.MARKETS}, reading AS (SELECT region AS subject, country, CASE WHEN CAST(substr(country, 8) AS INT) % 4 = 0 THEN 'no_signal' WHEN CAST(substr(country, 8) AS INT) % 4 = 3 THEN 'no_data' ELSE 'measured' END AS status, CASE WHEN CAST(substr(country, 8) AS INT) % 4 = 1 THEN 60.0 WHEN CAST(substr(country, 8) AS INT) % 4 = 2 THEN 5.0 END::DOUBLE AS growth FROM markets),
+sim AS (SELECT x.country, y.country AS other, 1 - abs(x.a - y.a) AS s FROM markets x JOIN markets y ON x.region = y.region AND x.country <> y.country), p AS (
+    SELECT w.subject, w.country, other, s, g.growth - coalesce(w.growth, 0) AS gap, row_number() OVER (PARTITION BY w.subject, w.country ORDER BY s DESC, other DESC) AS r FROM reading w JOIN sim ON sim.country = w.country AND s >= 0.6
+    JOIN reading g ON g.subject = w.subject AND g.country = other AND g.status = 'measured' AND g.growth >= 25 WHERE w.status = 'no_signal' OR w.status = 'measured' AND w.growth < 8)
+SELECT subject, country, other AS model, round(s, 4) AS similarity, round(gap, 4) AS gap FROM p WHERE r = 1 AND gap >= 25""")
+def localization(spark, sf_dir):
+    m, k = MQ._markets(spark, sf_dir), F.substring_index("country", "_", -1).cast("int") % 4
+    readings = m.select(c("region").alias("subject"), "country", F.when(k == 0, "no_signal").when(k == 3, "no_data").otherwise("measured").alias("status"), F.when(k == 1, 60.0).when(k == 2, 5.0).alias("growth"))
+    x, y = m.select("region", "country", "a"), m.select("region", c("country").alias("other"), c("a").alias("b"))
+    similar = x.join(y, "region").filter("country != other").select("country", "other", (1 - F.abs(c("a") - c("b"))).alias("similarity"))
+    return MQ.G.localization(readings, similar)

@@ -85,8 +85,9 @@ def profiles(spark, sf_dir):
     return S.growth_profile(B.all_series(spark, sf_dir)).join(F.broadcast(signals), "series")  # four signals a nation
 
 
-def trends(spark, sf_dir):
-    return T.scored(T.rollup(profiles(spark, sf_dir), B.AS_OF))
+def trends(spark, sf_dir, known=None):
+    # kept once read: corroboration and roll-up both read the profiles, a row a series
+    return T.scored(T.rollup(known or profiles(spark, sf_dir).persist(), B.AS_OF))
 
 
 def register(name, build, sql, *columns, text=()):
