@@ -22,19 +22,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 
 MARK = "▁"
-CACHE = 300_000  # words a worker remembers; when full it starts afresh
+CACHE = 600_000  # words a worker remembers; when full it starts afresh
+SHORT = 30  # letters; products of so many probabilities are within the range of doubles
 UNKNOWN = 1e-9  # probability of a character without a piece, the same in every language
 _WORD = re.compile(r"[^\W\d_]+")
 _SMALL, _SCALE = 1e-120, 1e120
@@ -64,6 +67,10 @@ class Scorer:
     def __init__(self, model: Model, cache: int = CACHE):
         self.model, self.limit = model, cache
         self.rows = dict(zip(model.pieces, map(tuple, model.probabilities.tolist())))
+        self.place_of = {p: i for i, p in enumerate(model.pieces)}
+        # every beginning of a piece, to know where no longer piece can match; -1: not itself a piece
+        self.begins = {p[:k]: -1 for p in model.pieces for k in range(1, len(p))} | self.place_of
+        self.table = np.vstack([model.probabilities, np.full((1, len(model.languages)), UNKNOWN)])
         self.longest = max(map(len, model.pieces), default=1)
         self.forget()
 
@@ -92,6 +99,41 @@ class Scorer:
                     sums[i] = [s * _SCALE for s in sums[i]]
         return [math.log(max(s, 1e-300)) - lost for s in sums[-1]]
 
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """forward() for short words, all at once: their pieces are looked up one by one, then the
+        sums go from character to character for all words together."""
+        size = max(map(len, words)) + 1
+        edges: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        begins, unknown = self.begins, len(self.table) - 1
+        for w, word in enumerate(words):
+            text = MARK + word
+            n = len(text)
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    piece = begins.get(text[i:j])
+                    if piece is None:
+                        if j == i + 1:
+                            piece = unknown
+                        else:
+                            break
+                    elif piece < 0:
+                        if j > i + 1:
+                            continue
+                        piece = unknown
+                    at, pieces = edges[j * 64 + j - i]
+                    at.append(w)
+                    pieces.append(piece)
+                    if piece == unknown and text[i:j] not in begins:
+                        break
+        sums = np.zeros((size + 1, len(words), self.table.shape[1]))
+        sums[0] = 1.0
+        for key in sorted(edges):
+            j, length = divmod(key, 64)
+            at, pieces = edges[key]
+            sums[j][at] += sums[j - length][at] * self.table[pieces]
+        ends = np.fromiter(map(len, words), np.int64) + 1
+        return np.log(np.maximum(sums[ends, np.arange(len(words))], 1e-300))
+
     def learn(self, words: list[str]) -> None:
         new = list({w for w in words if w not in self.place})
         if self.n + len(new) > self.limit:
@@ -101,15 +143,33 @@ class Scorer:
             grown = np.zeros((max(2 * len(self.known), self.n + len(new)), self.known.shape[1]))
             grown[: self.n] = self.known[: self.n]
             self.known = grown
+        short = []
         for w in new:
-            if any(map(str.isalpha, w)):
+            if not any(map(str.isalpha, w)):
+                self.place[w] = 0
+            elif len(w) <= SHORT:
+                short.append(w)
+            else:
                 self.place[w], self.known[self.n] = self.n, self.forward(w)
                 self.n += 1
-            else:
-                self.place[w] = 0
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
+        if short:
+            self.known[self.n : self.n + len(short)] = self.forward_many(short)
+            self.place.update(zip(short, range(self.n, self.n + len(short))))
+            self.n += len(short)
+
+    def score_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Scores of texts, by groups of a million characters whose new words are learned together."""
+        out, group, size = [], [], 0
+        for k, text in enumerate(texts):
+            group.append(_WORD.findall((text or "").lower()))
+            size += len(text or "")
+            if size >= 1_000_000 or k + 1 == len(texts):
+                self.learn([w for w in set().union(*group) if w not in self.place])
+                out += map(self.score, group)
+                group, size = [], 0
+        return out
+
+    def score(self, words: list[str]) -> tuple[str, float]:
         try:
             at = [self.place[w] for w in words]
         except KeyError:
@@ -193,16 +253,27 @@ def fit(docs: DataFrame, model_path: str, train_rows: int = 10_000, rounds: int
     return Model(languages, pieces, probabilities)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, shared: Broadcast) -> Scorer:
+    """One for all tasks of a Python worker, so that later tasks find the words of earlier ones."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(shared.value)
+    return _scorers[name]
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with __language, struct<lang_pred string, score double>; one map over the rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer(name, shared)
         for b in batches:
-            found = [scorer.score(t) for t in b.column("__text").to_pylist()]
+            found = scorer.score_all(b.column("__text").to_pylist())
             result = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([b.column("__row"), result], names=["__row", "__language"])
 
