@@ -17,8 +17,13 @@ BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 
 
+_NARROW = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)  # for ids of usual vocabularies
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if len(values) and values.max() < len(_NARROW):
+        return _NARROW[values.astype(np.int64)]
     out = np.zeros(len(values), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
         big = (values >> np.uint64(shift)) > 0
@@ -42,6 +47,8 @@ def _choices(width: np.ndarray, left: np.ndarray) -> np.ndarray:
         if count > n:
             continue
         base = 1 << (count.bit_length() - 1)
+        if spans[base].min() > BITS[selector]:
+            continue
         widest = spans[base][: n - count + 1]
         if count > base:
             widest = np.maximum(widest, spans[base][count - base :][: n - count + 1])
