@@ -76,3 +76,24 @@ def localization(readings: DataFrame, similar: DataFrame, least_similar: float =
     pairs = weak.join(similar.filter(F.col("similarity") >= least_similar), "country").join(strong, ["subject", "other"])
     best = pairs.groupBy("subject", "country").agg(F.max_by(F.struct("other", "similarity", (F.col("other_growth") - F.col("growth")).alias("gap")), F.struct("similarity", "other")).alias("b"))
     return best.filter(F.col("b.gap") >= least_gap).select("subject", "country", F.col("b.other").alias("model"), F.round("b.similarity", 4).alias("similarity"), F.round("b.gap", 4).alias("gap"))
+
+
+# Most points of what carries over from one market to another.
+TRANSFER = {"purchasing_power": 20, "infrastructure": 20, "regulation": 15, "logistics": 15, "language": 10, "headroom": 20}
+
+
+def transferability(targets: DataFrame) -> DataFrame:
+    """targets: one row for each subject and country with source means (s_*), own facts (purchasing_power,
+    infrastructure, regulation, logistics; null: not stored), language, s_languages and gap. score is
+    null where fewer than three dimensions have evidence: then nothing can be said."""
+    parts = []
+    for name in ("purchasing_power", "infrastructure", "regulation", "logistics"):
+        own, source = F.col(name), F.col(f"s_{name}")
+        share = F.when(source > 0, F.least(F.lit(1.0), own / source)).otherwise(0.0)
+        parts.append(F.when(own.isNotNull() & source.isNotNull(), F.round(F.round(TRANSFER[name] * share, 9), 2)).otherwise(0.0))
+    known = F.col("language").isNotNull() & (F.size("s_languages") > 0)
+    parts.append(F.when(known, F.when(F.array_contains("s_languages", F.col("language")), 10.0).otherwise(3.0)).otherwise(0.0))
+    parts.append(F.round(F.round(TRANSFER["headroom"] * F.least(F.lit(1.0), F.col("gap") / 100), 9), 2))
+    total = sum(parts, F.lit(0.0))
+    seen = sum(((p > 0).cast("int") for p in parts), F.lit(0))
+    return targets.withColumn("evidenced", seen).withColumn("score", F.when(seen >= 3, F.round(F.least(F.lit(100.0), F.round(total, 9)), 1)))

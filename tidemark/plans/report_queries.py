@@ -115,3 +115,20 @@ def localization(spark, sf_dir):
     x, y = m.select("region", "country", "a"), m.select("region", c("country").alias("other"), c("a").alias("b"))
     similar = x.join(y, "region").filter("country != other").select("country", "other", (1 - F.abs(c("a") - c("b"))).alias("similarity"))
     return MQ.G.localization(readings, similar)
+
+
+@query(f"""WITH {MQ.MARKETS}, m AS (SELECT *, CASE WHEN CAST(substr(country, 8) AS INT) % 3 = 0 THEN a END AS reg, ['en', 'fr', 'de'][CAST(substr(country, 8) AS INT) % 3 + 1] AS lang FROM markets),
+s AS (SELECT t.*, avg(o.a) AS sa, avg(o.b) AS sb, avg(o.reg) AS sr, list(DISTINCT o.lang) AS langs FROM m t JOIN m o ON o.region = t.region AND o.country <> t.country GROUP BY ALL),
+p AS (SELECT country, CASE WHEN a IS NOT NULL AND sa IS NOT NULL THEN round(round(20 * CASE WHEN sa > 0 THEN least(1, a / sa) ELSE 0 END, 9), 2) ELSE 0 END AS p1, CASE WHEN b IS NOT NULL AND sb IS NOT NULL THEN round(round(20 * least(1, b / sb), 9), 2) ELSE 0 END AS p2,
+    CASE WHEN reg IS NOT NULL AND sr IS NOT NULL THEN round(round(15 * CASE WHEN sr > 0 THEN least(1, reg / sr) ELSE 0 END, 9), 2) ELSE 0 END AS p3, CASE WHEN list_contains(langs, lang) THEN 10 ELSE 3 END AS p5, round(20 * 0.3::DOUBLE, 2) AS p6 FROM s)
+SELECT country, CASE WHEN CAST(p1 > 0 AS INT) + CAST(p2 > 0 AS INT) + CAST(p3 > 0 AS INT) + 2 >= 3 THEN round(round(p1 + p2 + p3 + p5 + p6, 9), 1) END AS score FROM p""")
+def transferability(spark, sf_dir):
+    """Each market against the others of its region, their means from sums less its own row."""
+    k = F.substring_index("country", "_", -1).cast("int") % 3
+    m = MQ._markets(spark, sf_dir).withColumns({"purchasing_power": c("a"), "infrastructure": c("b"), "regulation": F.when(k == 0, c("a")), "logistics": F.lit(None).cast("double"), "language": F.get(F.array(*map(F.lit, ("en", "fr", "de"))), k), "gap": F.lit(30.0)})
+    for name in ("purchasing_power", "infrastructure", "regulation", "logistics"):
+        m = MQ.G.leader_gap(m.withColumnRenamed("region", "subject").withColumn("__gap", c("gap")), name).withColumn(f"s_{name}", c("leaders")).withColumn("gap", c("__gap")).drop("leaders", "__gap").withColumnRenamed("subject", "region")
+    spoken = m.groupBy("region", "language").agg(F.count("*").alias("n"))
+    s_languages = spoken.groupBy("region").agg(F.collect_list(F.struct("language", "n")).alias("spoken"))
+    others = F.transform(F.filter("spoken", lambda x: (x["language"] != c("language")) | (x["n"] > 1)), lambda x: x["language"])
+    return MQ.G.transferability(m.join(s_languages, "region").withColumn("s_languages", others)).select("country", "score")
