@@ -14,12 +14,11 @@ when it passes the latest slot of the text: about m ln m points a text besides o
 Bands of `rows` slots are hashed to buckets. At similarity s a pair misses all buckets with
 probability (1 - s^rows)^bands: 5e-7 at 0.8 with 48 bands of 6.
 
-Copies of one text are a single vertex throughout. In each bucket all members are first compared with
-the least one (a bucket of any size gives a pair a member, and the least is found by partial
-aggregates). Verified pairs form components. Where a bucket still holds several components, members
-outside its largest component are compared with all members of other components, so no link
-between different texts is lost because both differ from the least member. Pairs are bounded by length beforehand (at
-similarity t the shorter has at least t times the shingles), and verified on the exact multisets.
+Copies of one text are a single vertex throughout. Of a bucket's members at first only one is
+compared with all others, however many there are; verified pairs form components; see link_rounds(). In
+the end members of one bucket that are in different components have all been compared, so no
+link between different texts is lost. Pairs are bounded by length beforehand (at similarity t the
+shorter has at least t times the shingles), and verified on the exact multisets.
 
 Defined results: a text without words, or null, is in a class with its equals only; rows with the
 same text are in one class; the class is named by its least document id (null counts as least);
@@ -29,6 +28,7 @@ repeated rows each get a row; further columns are not returned by classes().
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +39,7 @@ from .components import components
 
 BANDS, ROWS, WORDS, SIMILARITY = 48, 6, 5, 0.8
 CHUNK = 300_000  # shingles that are worked on at once
+SIDE = 128  # rows of a block
 
 _U = np.uint64
 
@@ -154,8 +155,8 @@ def vertices(docs: DataFrame, bands: int, rows: int, words: int, id_col: str = "
     return stored(distinct.withColumn("vid", F.monotonically_increasing_id()), "minhash-vertices")
 
 
-def verified(pairs: DataFrame, verts: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of `pairs` (a, b: vid) whose multisets overlap enough."""
+def element_sets(verts: DataFrame, wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """vid, elements (the multiset as a sorted set) for the vertices in `wanted`, from a text of each."""
 
     def elements(batches):
         for b in batches:
@@ -163,42 +164,108 @@ def verified(pairs: DataFrame, verts: DataFrame, docs: DataFrame, words: int, si
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists or [np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column("vid"), values], names=["vid", "elements"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(verts.select("vid", "v", "rep"), "vid")
+    needed = wanted.select("vid").distinct().join(verts.select("vid", "v", "rep"), "vid")
     texts = _texts(docs, id_col, text_col)
     found = texts.join(needed, (texts.v == needed.v) & texts.doc_id.eqNullSafe(needed.rep)).select("vid", "text").dropDuplicates(["vid"])
-    sets = stored(found.mapInArrow(elements, "vid long, elements array<long>"), "minhash-sets")
+    return stored(found.mapInArrow(elements, "vid long, elements array<long>"), "minhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b: vid) whose multisets overlap enough."""
     left = sets.select(F.col("vid").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("vid").alias("b"), F.col("elements").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("left", "right"))
     enough = common >= similarity * (F.size("left") + F.size("right") - common) - 1e-9
-    return stored(both.filter(enough).select("a", "b"), "minhash-links")
+    return stored(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"), "minhash-links")
+
+
+def _near(m, n, similarity: float):
+    return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
+
+def in_blocks(open_: DataFrame, verts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) in large buckets between members outside the largest component (apart) and members of
+    other components. Both sides are cut into blocks; each two blocks meet in one group, of at most
+    about 2 * SIDE rows. A pair is looked at in the first bucket that it shares only."""
+    cut = lambda size: F.ceil(F.col(size) / SIDE)
+    at = lambda size: F.pmod(F.xxhash64("vid", "bucket"), cut(size))
+    rows = open_.join(sets, "vid").join(verts.select("vid", "bands"), "vid")
+    ask = rows.filter("label != main").select("*", at("apart").alias("i"), F.explode(F.sequence(F.lit(0), cut("all") - 1)).alias("j"), F.lit(True).alias("asks"))
+    told = rows.select("*", F.explode(F.sequence(F.lit(0), cut("apart") - 1)).alias("i"), at("all").alias("j"), F.lit(False).alias("asks"))
+    both = ask.unionByName(told).select("bucket", "i", "j", "asks", "vid", "label", (F.col("label") != F.col("main")).alias("apart"), "n", "elements", "bands")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        members = group[~group["asks"]]
+        if len(members):
+            bucket = group["bucket"].iloc[0]
+            bands = np.stack(members["bands"].to_numpy())
+            vid, label, apart, n = (members[c].to_numpy() for c in ("vid", "label", "apart", "n"))
+            sizes = members["elements"].map(len).to_numpy()
+            flat, starts = np.concatenate(members["elements"].to_numpy()), np.cumsum(sizes) - sizes
+            for x in group[group["asks"]].itertuples():
+                same = bands == np.asarray(x.bands)
+                first = bands[np.arange(len(bands)), same.argmax(1)] == bucket
+                take = first & (label != x.label) & (~apart | (vid > x.vid)) & (np.minimum(n, x.n) >= similarity * np.maximum(n, x.n) - 1e-9)
+                if not take.any():
+                    continue
+                own = np.sort(np.asarray(x.elements))
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(hit, starts)
+                out += [(min(x.vid, v), max(x.vid, v)) for v in vid[take & (common >= similarity * (sizes + len(own) - common) - 1e-9)].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return stored(both.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long"), "minhash-links")
+
+
+def link_rounds(shared: DataFrame, verts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """v, label of vertices with links; shared: bucket, vid, n of buckets with several vertices.
+
+    Each round compares the members of a bucket with one member of its largest component, another in
+    every round and bucket, which gives at most a pair for each member. Once a round adds less than a
+    hundredth to the links, all members outside their bucket's largest component are compared
+    with those of other components: by pairs in small buckets, in blocks in large ones."""
+    open_ = shared.withColumn("label", F.col("vid"))
+    links = tried = labels = None
+    step, total, last = 0, 0, False
+    while True:
+        sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("vid", "n"), F.xxhash64("vid", "bucket", F.lit(step))).alias("one"))
+        mains = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "one", "size"), F.struct("size", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("size").alias("all")).filter("kinds > 1")
+        mains = mains.select("bucket", F.col("main.label").alias("main"), F.col("main.one").alias("one"), "all", (F.col("all") - F.col("main.size")).alias("apart"))
+        open_ = stored(open_.select("bucket", "vid", "n", "label").join(mains, "bucket"), "minhash-open")
+        apart = open_.filter("label != main")
+        small = F.col("all") * F.col("apart") <= SIDE * SIDE / 4
+        if last:
+            x = apart.filter(small).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("vid", "n", "label")])
+            pairs = x.join(open_, "bucket").filter((F.col("label1") != F.col("label")) & _near(F.col("n1"), F.col("n"), similarity)).select(F.col("vid1").alias("x"), F.col("vid").alias("y"))
+        else:
+            pairs = apart.filter(_near(F.col("n"), F.col("one.n"), similarity)).select(F.col("vid").alias("x"), F.col("one.vid").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
+        found = verified(pairs, sets, similarity)
+        if last:
+            found = found.union(in_blocks(open_.filter(~small), verts, sets, similarity))
+        new = found.count()
+        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+        if new:
+            labels = components(links)
+            open_ = open_.select("bucket", "vid", "n").join(labels, open_.vid == labels.v, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("label"))
+        if last:
+            return labels
+        total += new
+        last = new * 100 <= total
+        step += 1
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, v (digest of the text), class_id for each row of `docs`."""
     verts = vertices(docs, bands, rows, words, id_col, text_col)
     member = verts.select(F.explode("bands").alias("bucket"), "vid", "n")
-    heads = stored(member.groupBy("bucket").agg(F.min(F.struct("vid", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("bucket", "head"), "minhash-buckets")
-    shared = stored(member.join(heads, "bucket").select("bucket", "vid", "n", "head"), "minhash-members")
-    similar_length = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-    star = stored(shared.filter((F.col("vid") != F.col("head.vid")) & similar_length(F.col("n"), F.col("head.n"))).select(F.col("head.vid").alias("a"), F.col("vid").alias("b")).distinct(), "minhash-pairs")
-    links = verified(star, verts, docs, words, similarity, id_col, text_col)
-
-    labels = components(links)
-    placed = shared.join(labels, shared.vid == labels.v, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("label"))
-    placed = stored(placed, "minhash-placed")
-    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    mains = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = stored(placed.join(mains.select("bucket", "main"), "bucket"), "minhash-open")
-    # a pair of different components has a member outside its bucket's largest component
-    x = open_.filter("label != main").select("bucket", *[F.col(c).alias(f"{c}1") for c in ("vid", "n", "label")])
-    cross = x.join(open_, "bucket").filter((F.col("label1") != F.col("label")) & similar_length(F.col("n1"), F.col("n")))
-    cross = cross.select(F.least("vid1", "vid").alias("a"), F.greatest("vid1", "vid").alias("b")).distinct()
-    cross = stored(cross.join(star, ["a", "b"], "left_anti"), "minhash-pairs")
-    if not cross.isEmpty():
-        links = links.union(verified(cross, verts, docs, words, similarity, id_col, text_col))
-        labels = components(links)
+    several = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    shared = stored(member.join(several, "bucket"), "minhash-members")
+    labels = link_rounds(shared, verts, element_sets(verts, shared, docs, words, id_col, text_col), similarity)
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "v long, label long")
     named = verts.select("v", "vid", "rep").join(labels.withColumnRenamed("v", "of"), F.col("vid") == F.col("of"))
     least = named.groupBy("label").agg(F.min(F.struct("rep")).getField("rep").alias("class_id"))
     linked = stored(named.join(least, "label").select("v", "class_id"), "minhash-classes")
