@@ -40,7 +40,7 @@ from .bwt import repeats
 from .common import bounded_batches, row_key, stored
 
 GRAM = 64  # bytes of an anchor
-LENGTH, MOST, SHARD_BYTES, BLOCK = 200, 2048, 1_500_000, 17
+LENGTH, MOST, SHARD_BYTES, BLOCK = 200, 2048, 500_000, 17  # half a MB: the arrays of a shard stay near the processor
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=_U)
