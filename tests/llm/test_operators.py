@@ -59,6 +59,25 @@ def test_quality_edges(edges, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_quality_tells_texts_apart(spark, docs, empty):
+    """Word salad, and texts under another language's label, are kept by judged() and not by told_apart()."""
+    r = random.Random(11)
+    real = [(x["doc_id"], x["text"], x["lang"]) for x in docs.filter("n_chars > 600").collect()]
+    salad = [(100_000 + i, " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(150)), "en") for i in range(10)]
+    swapped = [(200_000 + i, t, "en") for i, (_, t, lang) in enumerate(real) if lang in ("de", "fr")][:10]
+    unlabelled = [(300_000 + i, t, None) for i, (_, t, lang) in enumerate(real) if lang == "en"][:10]
+    rows = frame(spark, real + salad + swapped + unlabelled)
+    loose = {x["doc_id"]: x["kept"] for x in quality.judged(rows).collect()}
+    got = {x["doc_id"]: x for x in quality.told_apart(rows).collect()}
+    odd = [k for k, _, _ in salad + swapped]
+    assert len(got) == len(loose) and sum(loose[k] for k in odd) >= 15
+    assert not any(got[k]["kept"] for k in odd)
+    assert sum(got[k]["kept"] for k, _, _ in real) >= 0.85 * sum(loose[k] for k, _, _ in real)
+    assert all(got[k]["band_lang"] == "en" for k, _, _ in unlabelled)
+    assert all(loose[k] or not x["kept"] for k, x in got.items())
+    assert quality.told_apart(empty).count() == 0
+
+
 def test_repeat_words_by_hand():
     r = random.Random(5)
     for _ in range(300):

@@ -29,6 +29,11 @@ def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op2_told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_divergence_quality, with word salad and texts of another language than their label's not kept."""
+    return quality.told_apart(documents(spark, sf_dir))
+
+
 def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, block, n_lines, n_turns, roles and the canonical text of every conversation."""
     raw = transcripts.labelled(documents(spark, sf_dir, "conversations"))
@@ -70,4 +75,4 @@ def op10_bwt_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.dedup_bytes(documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op3_transcript_hmm, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op3_transcript_hmm, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup, op2_told_apart)}
