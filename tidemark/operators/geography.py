@@ -58,13 +58,36 @@ def leader_gap(readings: DataFrame, measure: str) -> DataFrame:
 
 
 def rate_as_of(needs: DataFrame, rates: DataFrame) -> DataFrame:
-    """needs (id, base, quote, as_of) with the newest rate then: direct, else the inverse, 1 for equal
-    currencies, null without any."""
-    both = rates.select("base", "quote", "rate", F.col("as_of").alias("rated"), F.lit(0).alias("inverse")).unionByName(rates.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.nullif("rate", F.lit(0.0))).alias("rate"), F.col("as_of").alias("rated"), F.lit(1).alias("inverse")))
-    hits = needs.join(both, ["base", "quote"]).filter("rated <= as_of").groupBy("id").agg(F.min_by("rate", F.struct("inverse", (-F.unix_timestamp("rated")).alias("age"))).alias("rate"))
+    """rates_at() for each id: where several needs have one id, they get the newest of their rates."""
+    best = F.max_by("rate", F.struct(-F.col("inverse"), F.col("rated")))
+    hits = rates_at(needs, rates).filter("rated is not null").groupBy("id").agg(best.alias("rate"))
     return needs.join(hits, "id", "left").withColumn("rate", F.when(F.col("base") == F.col("quote"), 1.0).otherwise(F.col("rate")))
 
 
+def rates_at(needs: DataFrame, rates: DataFrame) -> DataFrame:
+    """Every row of needs (base, quote, as_of) with the newest rate then: direct, else the inverse, 1 for
+    equal currencies, null without any; rated is its time, inverse is 1 if it was turned. Of several rates
+    of a pair at one time, the least.
+
+    Rates and needs are ordered together, so that no need meets all rates of its pair; a pair is split by
+    days, and what a day starts with is carried over from the last rates of the days before."""
+    known = rates.filter(F.col("as_of").isNotNull()).groupBy("base", "quote", "as_of").agg(F.min("rate").cast("double").alias("rate")).withColumn("rated", F.col("as_of").cast("timestamp"))
+    some, none = lambda turn: F.struct("rate", F.col("rated"), F.lit(turn).alias("inverse")), F.lit(None).cast("struct<rate:double,rated:timestamp,inverse:int>")
+    need = F.lit(None).cast(needs.select(F.struct(*needs.columns).alias("need")).schema["need"].dataType)
+    direct = known.select("base", "quote", "as_of", need.alias("need"), some(0).alias("direct"), none.alias("inverse"))
+    turned = known.withColumn("rate", (1 / F.nullif("rate", F.lit(0.0))).cast("double")).select(F.col("quote").alias("base"), F.col("base").alias("quote"), "as_of", need.alias("need"), none.alias("direct"), some(1).alias("inverse"))
+    asked = needs.select("base", "quote", "as_of", F.struct(*needs.columns).alias("need"), none.alias("direct"), none.alias("inverse"))
+    rows = asked.union(direct).union(turned).withColumn("day", F.to_date("as_of"))
+    keys, kinds = ["base", "quote", "day"], ("direct", "inverse")
+    at = Window.partitionBy(*keys).orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("base", "quote").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.select(*keys, "need", *(F.last(k, True).over(at).alias(k) for k in kinds)).filter("need is not null")
+    closing = rows.groupBy(*keys).agg(*(F.max_by(k, F.when(F.col(k).isNotNull(), F.col("as_of"))).alias(k) for k in kinds))
+    carried = closing.select(*keys, *(F.last(k, True).over(before).alias(f"{k}_before") for k in kinds))
+    hit = F.coalesce("direct", "direct_before", "inverse", "inverse_before")
+    return inside.join(carried, keys, "left").select("need.*", hit["rate"].alias("rate"), hit["rated"].alias("rated"), hit["inverse"].alias("inverse")).withColumn("rate", F.when(F.col("base") == F.col("quote"), 1.0).otherwise(F.col("rate")))
+
+
 def localization(readings: DataFrame, similar: DataFrame, least_similar: float = 0.6, least_gap: float = 25.0) -> DataFrame:
     """Markets that a subject is weak in though it is strong in similar ones.
 
