@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import defaultdict
 
+from tidemark.operators import entities as E
 from tidemark.operators import geography as G
 from tidemark.plans.queries import QUERIES
 
@@ -55,3 +56,15 @@ def test_fx_asof_all_lines(spark):
 
 def test_spend_window_all_lines(spark):
     assert QUERIES["spend_window_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_topics_of_all_entities(spark, tmp_path):
+    """Two names that are linked through a third one, whose id is no multiple of three; and a cluster too large."""
+    names = ["red car", "red sun", "old sun", *(f"lone{i}" for i in range(20)), *(f"big w{i}" for i in range(4))]
+    rows = [(3 + i if i != 1 else 100, n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(x) for x in QUERIES["topic_clusters_all"](spark, str(tmp_path)).collect()}
+    assert got == {("100", "100|3|5"), ("26", "26|27|28|29")}
+    entities = spark.createDataFrame(rows, "id long, name string")
+    found = E.topics(entities, ["the"], most_members=3)
+    assert {tuple(x) for x in found.collect()} == {("100", "100|3|5")}

@@ -74,6 +74,15 @@ def topic_clusters(spark, sf_dir):
     return E.topics(_names(spark, sf_dir).filter("id % 3 = 0"), ["the"], most_members=60)
 
 
+@query(f"""WITH RECURSIVE {NAMES}, held AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM ents),
+telling AS (SELECT w FROM held WHERE length(w) >= 2 AND w <> 'the' GROUP BY w HAVING count(*) BETWEEN 2 AND greatest(3, 0.4 * (SELECT count(*) FROM ents))), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM held x JOIN held y USING (w) JOIN telling USING (w)),
+reach AS (SELECT CAST(id AS VARCHAR) AS v, CAST(id AS VARCHAR) AS r FROM ents UNION SELECT v, b FROM reach JOIN e ON r = a), labels AS (SELECT v, min(r) AS topic FROM reach GROUP BY v)
+SELECT topic, string_agg(v, '|' ORDER BY v) AS members FROM labels GROUP BY topic HAVING count(*) BETWEEN 2 AND 60""")
+def topic_clusters_all(spark, sf_dir):
+    """As topic_clusters, of all entities."""
+    return E.topics(_names(spark, sf_dir), ["the"], most_members=60)
+
+
 FACTS = """facts AS (
     SELECT n_name AS country, 'gdp_per_capita_ppp' AS key, DATE '2000-01-01' AS as_of, 0.9::DOUBLE AS confidence FROM nation UNION ALL SELECT n_name, 'population', DATE '1996-01-01', 0.1::DOUBLE FROM nation WHERE n_nationkey % 2 = 0
     UNION ALL SELECT n_name, 'logistics_performance', DATE '1999-06-01', 0.7::DOUBLE FROM nation WHERE n_nationkey % 3 = 0)"""
