@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import defaultdict
 
+from tidemark.operators import dedup as D
 from tidemark.operators import entities as E
 from tidemark.operators import geography as G
 from tidemark.plans.queries import QUERIES
@@ -68,3 +69,13 @@ def test_topics_of_all_entities(spark, tmp_path):
     entities = spark.createDataFrame(rows, "id long, name string")
     found = E.topics(entities, ["the"], most_members=3)
     assert {tuple(x) for x in found.collect()} == {("100", "100|3|5")}
+
+
+def test_story_labels_of_a_long_chain(spark):
+    """Chains of 400, in order and shuffled, and stories that are alone: one label each."""
+    order = list(range(400))
+    random.Random(2).shuffle(order)
+    edges = [(f"a{i:03}", f"a{i + 1:03}") for i in range(399)] + [(f"b{x:03}", f"b{y:03}") for x, y in zip(order, order[1:])]
+    names = sorted({v for e in edges for v in e}) + ["c", "d"]
+    got = D.story_labels(spark.createDataFrame([(v,) for v in names], "fingerprint string"), spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {x["fingerprint"]: x["story"] for x in got} == {v: f"{v[0]}000" if len(v) > 1 else v for v in names}

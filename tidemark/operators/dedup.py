@@ -36,8 +36,11 @@ def near_pairs(stories: DataFrame, threshold: float = 0.7) -> DataFrame:
     return a.join(b, "token").filter(fits).select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
 
 
-def story_labels(stories: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """fingerprint, story: the least fingerprint of its component of near pairs."""
+def story_labels(stories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """fingerprint, story: the least fingerprint of its component of near pairs.
+
+    Every round takes, for all vertices of a label together, the least label among them and their
+    neighbours, then the label of that label, so that paths halve; rounds end when no label changes."""
     spark = stories.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
@@ -45,9 +48,13 @@ def story_labels(stories: DataFrame, pairs: DataFrame, rounds: int = 30) -> Data
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
     edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = stories.select(F.col("fingerprint").alias("v"), F.col("fingerprint").alias("story"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("story").alias("near"))
-        moved = labels.join(near, F.col("v") == F.col("a"), "left").select("v", F.least("story", "near").alias("new"), (F.col("near") < F.col("story")).alias("changed")).checkpoint()
+        least = labels.join(near, F.col("v") == F.col("a"), "left").select("v", "story", F.least("story", "near").alias("least"))
+        own = least.groupBy("story").agg(F.min("least").alias("to"))
+        over = labels.select(F.col("v").alias("of"), F.col("story").alias("further"))
+        lead = own.join(over, F.col("to") == F.col("of")).select(F.col("story").alias("from"), F.least("to", "further").alias("new"))
+        moved = labels.join(lead, F.col("story") == F.col("from")).select("v", "new", (F.col("new") != F.col("story")).alias("changed")).checkpoint()
         labels = moved.select("v", F.col("new").alias("story"))
         if moved.filter("changed").isEmpty():
             break
