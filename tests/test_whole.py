@@ -79,3 +79,10 @@ def test_story_labels_of_a_long_chain(spark):
     names = sorted({v for e in edges for v in e}) + ["c", "d"]
     got = D.story_labels(spark.createDataFrame([(v,) for v in names], "fingerprint string"), spark.createDataFrame(edges, "a string, b string")).collect()
     assert {x["fingerprint"]: x["story"] for x in got} == {v: f"{v[0]}000" if len(v) > 1 else v for v in names}
+
+
+def test_injection_sweep_reports_base64(spark, tmp_path):
+    rows = [(1, "s", "before " + "QUJD" * 120 + "== after"), (2, "s", "QUJD" * 99), (3, "t", "x" * 400 + " " + "y" * 401)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(x) for x in QUERIES["injection_sweep"](spark, str(tmp_path)).select("source", "label", "records", "matches").collect()}
+    assert got == {("s", "long_base64", 1, 1), ("t", "long_base64", 1, 2)}

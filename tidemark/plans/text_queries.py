@@ -90,7 +90,7 @@ def _swept() -> str:
 @query(f"""WITH hits AS ({_swept()}), each AS (SELECT doc_id, source, label, sum(n) AS n FROM hits GROUP BY ALL HAVING sum(n) > 0)
 SELECT source, label, count(*) AS records, CAST(sum(n) AS BIGINT) AS matches FROM each GROUP BY ALL""")
 def injection_sweep(spark, sf_dir):
-    return D.injection_sweep(B.table(spark, sf_dir, "documents").select("source", "text"), "source", "text").filter("label != 'long_base64'")
+    return D.injection_sweep(B.table(spark, sf_dir, "documents").select("source", "text"), "source", "text")
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
