@@ -69,7 +69,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Language models, signatures and packing are beyond SQL; the stages have tests against brute force.
+#: Language models, signatures and packing are beyond SQL; the operators have tests of their own; the pipeline's kept rows aren't held against brute force.
 ORACLE_SQL = None
 
 
