@@ -29,14 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, claim, stored
 
 MARK = "▁"
-CACHE = 600_000  # words a worker remembers; when full it starts afresh
+CACHE = 300_000  # words a worker remembers (some 100 bytes each); when full it starts afresh
 SHORT = 30  # letters; products of so many probabilities are within the range of doubles
 UNKNOWN = 1e-9  # probability of a character without a piece, the same in every language
 _WORD = re.compile(r"[^\W\d_]+")
@@ -253,30 +253,20 @@ def fit(docs: DataFrame, model_path: str, train_rows: int = 10_000, rounds: int
     return Model(languages, pieces, probabilities)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(name: str, shared: Broadcast) -> Scorer:
-    """One for all tasks of a Python worker, so that later tasks find the words of earlier ones."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(shared.value)
-    return _scorers[name]
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with __language, struct<lang_pred string, score double>; one map over the rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared, name, names = spark.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns
+    at = names.index(text_col)
 
     def run(batches):
-        scorer = _scorer(name, shared)
+        # one for all tasks of a Python worker, so that later tasks find the words of earlier ones
+        scorer = claim("language_id", name, lambda: Scorer(shared.value))
         for b in batches:
-            found = scorer.score_all(b.column("__text").to_pylist())
+            found = scorer.score_all(b.column(at).to_pylist())
             result = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
-            yield pa.RecordBatch.from_arrays([b.column("__row"), result], names=["__row", "__language"])
+            yield pa.RecordBatch.from_arrays([*b.columns, result], names=[*names, "__language"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"))
-    schema = f"__row {packed.schema['__row'].dataType.simpleString()}, __language struct<lang_pred: string, score: double>"
-    return packed.mapInArrow(run, schema).select("__row.*", "__language")
+    schema = StructType([*docs.schema.fields, StructField("__language", StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
+    return docs.mapInArrow(run, schema)
