@@ -3,29 +3,42 @@
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_line_dedup"] = r"""
-WITH lines AS (
-    SELECT doc_id, text, string_split(text, chr(10)) l FROM documents
-), placed AS (
-    SELECT doc_id, k AS pos, l[k] AS unit,
-        CAST(coalesce(list_sum(list_transform(l[1:k-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
-    FROM lines, unnest(range(1, len(l) + 1)) t(k)
-), plain AS (
-    SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS p FROM placed
-), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id, pos) AS r,
-        len(string_split(p, ' ')) >= 5 AS counts
-    FROM plain
+WITH cut AS (
+    SELECT doc_id, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS u FROM documents
+), units AS (
+    SELECT doc_id, k, raw, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS p,
+        CAST(sum(length(raw)) OVER up - length(raw) AS BIGINT) AS start, CAST(sum(length(raw)) OVER up AS BIGINT) AS stop,
+        sum(CAST(raw LIKE '%' || chr(10) AS INTEGER)) OVER up - CAST(raw LIKE '%' || chr(10) AS INTEGER) AS line
+    FROM (SELECT doc_id, k, u[k] AS raw FROM cut, unnest(range(1, len(u) + 1)) t(k))
+    WINDOW up AS (PARTITION BY doc_id ORDER BY k)
+), solid AS (
+    SELECT *, length(p) AS n, row_number() OVER up AS i, sum(length(p)) OVER up AS upto FROM units WHERE p <> ''
+    WINDOW up AS (PARTITION BY doc_id ORDER BY k)
+), stretches AS (
+    SELECT a.doc_id, a.i, b.i AS j FROM solid a ASOF JOIN solid b ON a.doc_id = b.doc_id AND a.upto - a.n + 150 <= b.upto
+    UNION SELECT doc_id, min(i), max(i) FROM solid GROUP BY doc_id, line HAVING sum(n) >= 150
+), named AS (
+    SELECT s.doc_id, s.i, s.j, string_agg(p, chr(1) ORDER BY u.i) AS words, min(start) AS start, max(stop) AS stop
+    FROM stretches s JOIN solid u ON u.doc_id = s.doc_id AND u.i BETWEEN s.i AND s.j GROUP BY s.doc_id, s.i, s.j
+), later AS (
+    SELECT doc_id, start, stop FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS r FROM named) WHERE r > 1
+), judged AS (
+    SELECT u.*, EXISTS (SELECT 1 FROM later l WHERE l.doc_id = u.doc_id AND l.start <= u.start AND u.stop <= l.stop) AS gone
+    FROM units u
+), runs AS (
+    SELECT *, sum(CAST(gone <> before AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k) AS run
+    FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), gone) AS before FROM judged)
+), spans AS (
+    SELECT doc_id, string_agg(span, ',' ORDER BY start) AS removed
+    FROM (SELECT doc_id, min(start) AS start, min(start) || '-' || max(stop) AS span FROM runs WHERE gone GROUP BY doc_id, run) GROUP BY doc_id
 ), per_doc AS (
-    SELECT doc_id, count(*) AS n_units,
-        count(*) FILTER (WHERE counts AND r > 1) AS n_removed,
-        CAST(coalesce(sum(length(unit)) FILTER (WHERE counts AND r > 1), 0) AS BIGINT) AS chars_removed,
-        coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY pos) FILTER (WHERE counts AND r > 1), '') AS removed,
-        coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (WHERE NOT (counts AND r > 1)), '') AS kept
-    FROM ranked GROUP BY doc_id
+    SELECT doc_id, count(*) FILTER (WHERE gone AND p <> '') AS n_removed,
+        CAST(coalesce(sum(length(raw)) FILTER (WHERE gone), 0) AS BIGINT) AS chars_removed,
+        coalesce(string_agg(raw, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS kept
+    FROM judged GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
-    coalesce(chars_removed, 0) AS chars_removed, coalesce(removed, '') AS removed, kept
-FROM documents d LEFT JOIN per_doc USING (doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed, coalesce(removed, '') AS removed, kept
+FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 ORACLE["op4_prefix_decontamination"] = r"""

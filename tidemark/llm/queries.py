@@ -11,14 +11,12 @@ from .common import documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_units, n_removed, chars_removed, removed (start-stop character offsets), kept (the text left)."""
+    """doc_id, n_removed (units), chars_removed, removed (start-stop character offsets), kept (the text left)."""
     found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     gone = F.coalesce("__removed", F.array().cast(found.schema["__removed"].dataType))
-    n_units = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return found.select(
         "doc_id",
-        n_units.cast("long").alias("n_units"),
-        F.size(gone).cast("long").alias("n_removed"),
+        F.coalesce("__units", F.lit(0).cast("long")).alias("n_removed"),
         F.aggregate(gone, F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]).alias("chars_removed"),
         F.array_join(F.transform(gone, lambda r: F.concat_ws("-", r["start"].cast("string"), r["stop"].cast("string"))), ",").alias("removed"),
         F.col("__kept").alias("kept"),
