@@ -66,23 +66,17 @@ def cooccurrence(spark, sf_dir):
     return E.cooccurrence(B.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query(f"""WITH RECURSIVE {NAMES}, small AS (SELECT name, CAST(id AS VARCHAR) AS id FROM ents WHERE id % 3 = 0), held AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM small),
-telling AS (SELECT w FROM held WHERE length(w) >= 2 GROUP BY w HAVING count(*) BETWEEN 2 AND greatest(3, 0.4 * (SELECT count(*) FROM small))), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM held x JOIN held y USING (w) JOIN telling USING (w)),
-reach AS (SELECT id AS v, id AS r FROM small UNION SELECT v, b FROM reach JOIN e ON r = a), labels AS (SELECT v, min(r) AS topic FROM reach GROUP BY v)
-SELECT topic, string_agg(v, '|' ORDER BY v) AS members FROM labels GROUP BY topic HAVING count(*) BETWEEN 2 AND 60""")
-def topic_clusters(spark, sf_dir):
-    return E.topics(_names(spark, sf_dir).filter("id % 3 = 0"), ["the"], most_members=60)
-
-
 @query(f"""WITH RECURSIVE {NAMES}, held AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM ents),
 telling AS (SELECT w FROM held WHERE length(w) >= 2 AND w <> 'the' GROUP BY w HAVING count(*) BETWEEN 2 AND greatest(3, 0.4 * (SELECT count(*) FROM ents))), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM held x JOIN held y USING (w) JOIN telling USING (w)),
 reach AS (SELECT CAST(id AS VARCHAR) AS v, CAST(id AS VARCHAR) AS r FROM ents UNION SELECT v, b FROM reach JOIN e ON r = a), labels AS (SELECT v, min(r) AS topic FROM reach GROUP BY v)
 SELECT topic, string_agg(v, '|' ORDER BY v) AS members FROM labels GROUP BY topic HAVING count(*) BETWEEN 2 AND 60""")
-def topic_clusters_all(spark, sf_dir):
-    """As topic_clusters, of all entities."""
+def topic_clusters(spark, sf_dir):
     return E.topics(_names(spark, sf_dir), ["the"], most_members=60)
 
 
+QUERIES["topic_clusters_all"], ORACLE["topic_clusters_all"] = topic_clusters, ORACLE["topic_clusters"]  # its name before
+
+
 FACTS = """facts AS (
     SELECT n_name AS country, 'gdp_per_capita_ppp' AS key, DATE '2000-01-01' AS as_of, 0.9::DOUBLE AS confidence FROM nation UNION ALL SELECT n_name, 'population', DATE '1996-01-01', 0.1::DOUBLE FROM nation WHERE n_nationkey % 2 = 0
     UNION ALL SELECT n_name, 'logistics_performance', DATE '1999-06-01', 0.7::DOUBLE FROM nation WHERE n_nationkey % 3 = 0)"""
@@ -126,29 +120,27 @@ def geo_gap(spark, sf_dir):
     return G.leader_gap(_markets(spark, sf_dir).withColumnRenamed("region", "subject"), "b").select("country", "leaders", "gap")
 
 
-@query("""WITH rates AS (SELECT o_orderpriority AS base, o_orderstatus AS quote, CAST(o_orderdate AS TIMESTAMP) AS t, o_totalprice / 1000 AS rate FROM orders WHERE o_orderkey % 40 = 0), needs AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS base, CASE WHEN l_linenumber % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS quote, CAST(l_shipdate AS TIMESTAMP) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 50 = 0),
-hits AS (SELECT id, arg_min(CASE WHEN r.base = n.base THEN rate ELSE 1 / rate END, (CASE WHEN r.base = n.base THEN 0 ELSE 1 END, -epoch(r.t))) AS rate FROM needs n JOIN rates r ON (r.base = n.base AND r.quote = n.quote OR r.base = n.quote AND r.quote = n.base) AND r.t <= n.t GROUP BY id)
-SELECT id, round(rate, 6) AS rate FROM needs LEFT JOIN hits USING (id)""")
-def fx_asof(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders")
-    rates = o.filter("o_orderkey % 40 = 0").groupBy(c("o_orderpriority").alias("base"), c("o_orderstatus").alias("quote"), c("o_orderdate").cast("timestamp").alias("as_of")).agg(F.first(c("o_totalprice") / 1000).alias("rate"))
-    return G.rate_as_of(_conversions(B.table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0"), o), rates).select("id", F.round("rate", 6).alias("rate"))
-
-
 def _conversions(lines, o):
     even = c("l_linenumber") % 2 == 0
     lines = lines.join(o.select("o_orderkey", "o_orderstatus", "o_orderpriority"), c("l_orderkey") == c("o_orderkey"))
     return lines.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.when(even, c("o_orderstatus")).otherwise(c("o_orderpriority")).alias("base"), F.when(even, c("o_orderpriority")).otherwise(c("o_orderstatus")).alias("quote"), c("l_shipdate").cast("timestamp").alias("as_of"))
 
 
-@query(None)  # every need against every rate of its pair is too much for DuckDB; tests hold it against brute force
-def fx_asof_all(spark, sf_dir):
-    """As fx_asof, from the rates of all orders for all lines."""
+@query("""WITH rates AS (SELECT o_orderpriority AS base, o_orderstatus AS quote, CAST(o_orderdate AS TIMESTAMP) AS t, min(o_totalprice / 1000) AS rate FROM orders GROUP BY ALL
+), needs AS (
+    SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS turned, CAST(l_shipdate AS TIMESTAMP) AS t, o_orderpriority AS p, o_orderstatus AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)
+SELECT id, round(CASE WHEN turned THEN 1 / rate ELSE rate END, 6) AS rate FROM needs n ASOF LEFT JOIN rates r ON n.p = r.base AND n.s = r.quote AND n.t >= r.t""")
+def fx_asof(spark, sf_dir):
+    """The newest rate, from the rates of all orders, for every line; every other line asks for the inverse."""
     o = B.table(spark, sf_dir, "orders")
     rates = o.select(c("o_orderpriority").alias("base"), c("o_orderstatus").alias("quote"), c("o_orderdate").cast("timestamp").alias("as_of"), (c("o_totalprice") / 1000).alias("rate"))
     return G.rates_at(_conversions(B.table(spark, sf_dir, "lineitem"), o), rates).select("id", F.round("rate", 6).alias("rate"))
 
 
+QUERIES["fx_asof_all"], ORACLE["fx_asof_all"] = fx_asof, ORACLE["fx_asof"]  # its name before
+
+
 @query(f"""WITH {ORDERS}, cond AS (SELECT 'orders:' || n_name AS series, n_nationkey AS condition_id, ['gt', 'gte', 'lt', 'lte', 'odd'][n_nationkey % 5 + 1] AS op, 8.0::DOUBLE AS t FROM nation),
 r AS (SELECT condition_id, tick, value, op, t FROM cond JOIN orders_obs USING (series) WHERE tick >= TIMESTAMP '2001-08-01' - INTERVAL '365 days'), j AS (SELECT *, CASE op WHEN 'gt' THEN value > t WHEN 'gte' THEN value >= t WHEN 'lt' THEN value < t WHEN 'lte' THEN value <= t END AS ok FROM r),
 s AS (SELECT condition_id, count(*) AS n, count(*) FILTER (ok) AS p, arg_max(ok, tick) AS now FROM j GROUP BY condition_id)
@@ -190,17 +182,14 @@ def alert_match(spark, sf_dir):
     return M.match_alerts(_changes(spark, sf_dir), F.broadcast(rules)).select("rule_id", "user_id", "subject", F.date_format("at", "yyyy-MM-dd").alias("day"), "dedupe_key")  # a row for each rule
 
 
-@query("SELECT l_suppkey AS key, l_orderkey, l_linenumber::BIGINT AS line, round(sum(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL '30 days' PRECEDING AND CURRENT ROW), 2) AS spent FROM lineitem WHERE l_suppkey % 10 = 0")
-def spend_window(spark, sf_dir):
-    return _spend(B.table(spark, sf_dir, "lineitem").filter("l_suppkey % 10 = 0"))
-
-
 def _spend(lines):
     spend = lines.select(c("l_suppkey").alias("key"), c("l_shipdate").cast("timestamp").alias("at"), c("l_extendedprice").alias("amount"), "l_orderkey", c("l_linenumber").cast("bigint").alias("line"))
     return M.spend_window(spend, 30).select("key", "l_orderkey", "line", F.round("spent", 2).alias("spent"))
 
 
 @query("SELECT l_suppkey AS key, l_orderkey, l_linenumber::BIGINT AS line, round(sum(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL '30 days' PRECEDING AND CURRENT ROW), 2) AS spent FROM lineitem")
-def spend_window_all(spark, sf_dir):
-    """As spend_window, of all suppliers."""
+def spend_window(spark, sf_dir):
     return _spend(B.table(spark, sf_dir, "lineitem"))
+
+
+QUERIES["spend_window_all"], ORACLE["spend_window_all"] = spend_window, ORACLE["spend_window"]  # its name before

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from . import market_queries, opportunity_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries
+from . import alert_queries, geo_queries, listing_queries, market_queries, opportunity_queries, relevance_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries
 
-MODULES = (series_queries, trend_queries, text_queries, opportunity_queries, market_queries, report_queries, stream_queries)
+MODULES = (
+    series_queries,
+    trend_queries,
+    text_queries,
+    opportunity_queries,
+    market_queries,
+    geo_queries,
+    relevance_queries,
+    alert_queries,
+    listing_queries,
+    report_queries,
+    stream_queries,
+)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

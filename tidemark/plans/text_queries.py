@@ -82,9 +82,9 @@ def syndicated(spark, sf_dir):
 def _swept() -> str:
     parts = []
     for label, pattern in X.INJECTIONS:
-        pattern = pattern.replace("'", "''").replace("{400,}", "{400,}")
+        pattern = pattern.replace("'", "''")
         parts.append(f"SELECT doc_id, source, '{label}' AS label, len(regexp_extract_all(text, '{pattern}')) AS n FROM documents")
-    return " UNION ALL ".join(p for p in parts if "400" not in p)
+    return " UNION ALL ".join(parts)
 
 
 @query(f"""WITH hits AS ({_swept()}), each AS (SELECT doc_id, source, label, sum(n) AS n FROM hits GROUP BY ALL HAVING sum(n) > 0)
