@@ -14,7 +14,7 @@ beyond that the words of the documents are shuffled to them and candidates are j
 their documents, and Spark splits the partitions of frequent words.
 
 Defined results: a null or empty text has no words and is clean; an item without words matches
-nothing; rows that agree in id and text are one document and returned once; repeated items and
+nothing; rows that agree in id and text are judged as one and returned each; repeated items and
 items with the same windows each count; an empty benchmark leaves all clean; further columns are
 not returned.
 """
@@ -47,8 +47,11 @@ def prefixes(docs_words: DataFrame, windows: DataFrame, small: int) -> DataFrame
     """For each window its rarest word in the documents (token), with its place (offset)."""
     places = windows.select("item_id", "at", "win", F.posexplode("win").alias("offset", "word"))
     vocabulary = places.select("word").distinct()
-    vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= small else vocabulary
-    seen = docs_words.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
+    small_enough = vocabulary.count() <= small
+    vocabulary = F.broadcast(vocabulary) if small_enough else vocabulary
+    words = docs_words.select(F.explode("words").alias("word"))
+    # where the words have to be shuffled they are counted first, so that a frequent one brings a row a task
+    seen = words.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")) if small_enough else words.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word")
     # inner: a window with a word that no document has matches nowhere, and need not be joined
     rarest = places.join(seen, "word", "left").groupBy("item_id", "at", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", F.col("word").alias("token"))).alias("rarest"))
     return rarest.filter(F.col("rarest.n") > 0).select("item_id", "win", "rarest.token", "rarest.offset")
@@ -74,6 +77,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, small: in
         placed = docs_words.select(*key, "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "token")).withColumn("pos", F.col("pos") - 1)
         rows = _verified(placed.join(F.broadcast(tokens.union(head)), "token")).select(*key, F.size("words").alias("n_words"), *hit)
     else:
+        docs_words = docs_words.dropDuplicates(key)
         placed = docs_words.select(*key, F.posexplode("words").alias("pos", "token"))
         found = placed.join(tokens, "token").select(*key, "pos", "offset", "win", "item_id")
         found = _verified(found.join(docs_words, [found.doc_id.eqNullSafe(docs_words.doc_id), found.text_hash == docs_words.text_hash]).select(found["*"], "words"))
@@ -82,4 +86,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, small: in
     per_doc = rows.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["n"] - 1))))
     n_hit = F.size(places).cast("long")
-    return per_doc.select(*key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    judged = per_doc.select(
+        F.col("doc_id").alias("id"),
+        F.col("text_hash").alias("hash"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+    each = docs.select(*row_key(id_col, text_col))  # rows that agree in both get their result each
+    return each.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).drop("id", "hash")
