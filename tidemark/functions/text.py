@@ -4,6 +4,8 @@ All are column expressions; accents are folded by a table of Latin letters, not
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,32 +81,96 @@ def name_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def _plain_forms() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is a single printable ASCII character, and these."""
+    pairs = [(chr(i), normalize("NFKC", chr(i))) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000]
+    found = [(a, b) for a, b in pairs if len(b) == 1 and " " <= b <= "~"]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+_ODD, _EVEN = _plain_forms()
+
+
+def cleaned(text: Column) -> Column:
+    """Wide, bold and other forms of ASCII characters as these themselves; invisible characters dropped. Ligatures
+    and other characters that stand for several stay, unlike in full compatibility normalisation."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _ODD, _EVEN), "[\\u200B-\\u200F\\u2028\\u2029\\u2060\\uFEFF\\x00]", "")
+
+
+def _scoped(pattern: str) -> str:
+    """The pattern with its flags inside of it, to be one branch of several."""
+    flags = pattern[2 : pattern.index(")")] if pattern.startswith("(?") else ""
+    return f"(?{flags}:{pattern[len(flags) + 3 :]})" if flags else f"(?:{pattern})"
+
+
+_ANY = "|".join(_scoped(p) for _, p in INJECTIONS)
+
+
+def _replacing(text: Column) -> list[tuple[str, Column, Column]]:
+    """Label, number of matches, and the text behind each replacement in turn."""
+    steps = []
+    for label, pattern in INJECTIONS:
+        n = F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, f"[neutralised:{label}]")
+        steps.append((label, n, text))
+    return steps
+
+
 def injection_counts(text: Column) -> Column:
-    """map<label, matches> of the labels that occur. Counted on the text as it is, label by label."""
-    labels = dict.fromkeys(name for name, _ in INJECTIONS)
-    count = lambda label: sum((F.regexp_count(text, F.lit(p)) for name, p in INJECTIONS if name == label), F.lit(0))
-    return F.map_filter(F.create_map(*[x for label in labels for x in (F.lit(label), count(label))]), lambda _, n: n > 0)
+    """map<label, matches> of the labels that occur, counted on the cleaned text while they are replaced in
+    turn. One pass over all patterns together finds the few texts for which this is done."""
+    text = cleaned(text)
+    steps = _replacing(text)
+    labels = dict.fromkeys(label for label, _, _ in steps)
+    count = lambda label: sum((n for name, n, _ in steps if name == label), F.lit(0))
+    counts = F.map_filter(F.create_map(*[x for label in labels for x in (F.lit(label), count(label))]), lambda _, n: n > 0)
+    return F.when(F.rlike(text, F.lit(_ANY)), counts).otherwise(F.create_map().cast("map<string,int>"))
 
 
 def neutralised(text: Column, most: int = 20_000) -> Column:
-    """Invisible characters dropped, injections replaced by their label, cut at `most` characters."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u200B-\\u200F\\u2028\\u2029\\u2060\\uFEFF\\x00]", "")
-    for label, pattern in INJECTIONS:
-        clean = F.regexp_replace(clean, pattern, f"[neutralised:{label}]")
-    return F.when(F.length(clean) > most, F.concat(F.left(clean, F.lit(most)), F.lit("\n[truncated]"))).otherwise(clean)
+    """The cleaned text with injections replaced by their label, cut at `most` characters, ends stripped."""
+    text = cleaned(text)
+    clean = F.when(F.rlike(text, F.lit(_ANY)), _replacing(text)[-1][2]).otherwise(text)
+    return F.trim(F.when(F.length(clean) > most, F.concat(F.left(clean, F.lit(most)), F.lit("\n[truncated]"))).otherwise(clean))
+
+
+# Entities in the order in which they are replaced.
+ENTITIES = {
+    "&amp;": "&",
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&#39;": "'",
+    "&apos;": "'",
+    "&nbsp;": " ",
+    "&mdash;": "-",
+    "&ndash;": "-",
+}
+# What HTML is cut at.
+SCRIPTS, BREAKS, TAGS, NUMBERS = r"(?is)<{0}[^>]*>.*?</{0}>", r"(?i)<br\s*/?>|</p>", r"<[^>]+>", r"&#(\d+);"
+
+
+def _numbered(text: Column) -> Column:
+    """Decimal references as their characters; what is no character is a blank."""
 
+    def letter(digits: Column) -> Column:
+        n = digits.try_cast("bigint")
+        valid = (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(F.coalesce(valid, F.lit(False)), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(" ")
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+    between, digits = F.split(text, NUMBERS, -1), F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(1))
+    return F.array_join(F.zip_with(between, digits, lambda t, d: F.concat(t, F.when(d.isNotNull(), letter(d)).otherwise(""))), "")
 
 
 def html_text(html: Column) -> Column:
     """A lossy reduction of HTML to text."""
     text = F.coalesce(html, F.lit(""))
     for tag in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>|</p>", "\n"), r"<[^>]+>", " ")
-    for entity, plain in ENTITIES:
+        text = F.regexp_replace(text, SCRIPTS.format(tag), " ")
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, " ")
+    for entity, plain in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = F.when(F.contains(text, F.lit("&#")), _numbered(text)).otherwise(text)
     return F.trim(F.regexp_replace(text, r"[ \t]{2,}", " "))
 
 

@@ -80,23 +80,33 @@ def syndicated(spark, sf_dir):
 
 
 def _swept() -> str:
-    parts = []
-    for label, pattern in X.INJECTIONS:
+    """Texts after each replacement in turn, and how often each pattern was replaced."""
+    steps = ["t0 AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '[\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{2060}\\x{FEFF}]', '', 'g') AS t FROM documents)"]
+    for k, (label, pattern) in enumerate(X.INJECTIONS):
         pattern = pattern.replace("'", "''")
-        parts.append(f"SELECT doc_id, source, '{label}' AS label, len(regexp_extract_all(text, '{pattern}')) AS n FROM documents")
-    return " UNION ALL ".join(parts)
+        steps.append(f"t{k + 1} AS (SELECT doc_id, source, regexp_replace(t, '{pattern}', '[neutralised:{label}]', 'g') AS t, '{label}' AS label, len(regexp_extract_all(t, '{pattern}')) AS n FROM t{k})")
+    return ", ".join(steps)
 
 
-@query(f"""WITH hits AS ({_swept()}), each AS (SELECT doc_id, source, label, sum(n) AS n FROM hits GROUP BY ALL HAVING sum(n) > 0)
+HITS = " UNION ALL ".join(f"SELECT doc_id, source, label, n FROM t{k + 1}" for k in range(len(X.INJECTIONS)))
+
+
+@query(f"""WITH {_swept()}, hits AS ({HITS}), each AS (SELECT doc_id, source, label, sum(n) AS n FROM hits GROUP BY ALL HAVING sum(n) > 0)
 SELECT source, label, count(*) AS records, CAST(sum(n) AS BIGINT) AS matches FROM each GROUP BY ALL""")
 def injection_sweep(spark, sf_dir):
     return D.injection_sweep(B.table(spark, sf_dir, "documents").select("source", "text"), "source", "text")
 
 
+@query(f"""WITH {_swept()} SELECT doc_id, md5(trim(CASE WHEN length(t) > 20000 THEN left(t, 20000) || chr(10) || '[truncated]' ELSE t END)) AS digest FROM t{len(X.INJECTIONS)}""")
+def neutralised_text(spark, sf_dir):
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.md5(X.neutralised(F.col("text"))).alias("digest"))
+
+
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
-SELECT page_id, CAST(length(trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'))) AS BIGINT) AS n_chars, md5(trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'))) AS digest FROM c""")
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&mdash;', '-'), '&ndash;', '-') AS t FROM b),
+d AS (SELECT page_id, array_to_string(list_transform(list_zip(string_split_regex(t, '&#[0-9]+;'), regexp_extract_all(t, '&#([0-9]+);', 1)), lambda x: x[1] || coalesce(CASE WHEN TRY_CAST(x[2] AS BIGINT) < 1114112 THEN chr(CAST(x[2] AS INT)) WHEN x[2] IS NOT NULL THEN ' ' END, '')), '') AS t FROM c)
+SELECT page_id, CAST(length(trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'))) AS BIGINT) AS n_chars, md5(trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'))) AS digest FROM d""")
 def html_text(spark, sf_dir):
     text = X.html_text(F.col("html"))
     return B.table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
