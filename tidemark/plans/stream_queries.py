@@ -36,16 +36,37 @@ def stream_daily(spark, sf_dir):
     return T.drained(T.daily(T.events(spark, sf_dir), "event_type"))
 
 
-@query("WITH r AS (SELECT event_type AS series, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT series, max(n) AS n, round(sum(CASE WHEN i = 1 THEN value * power(0.7, n - 1) ELSE 0.3 * value * power(0.7, n - i) END), 4) AS ewma FROM r GROUP BY series")
+@query("""SELECT event_type AS series, isoyear(ts) || '-W' || lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS week, count(*) AS n FROM events
+WHERE date_trunc('week', ts) + INTERVAL '7 days' <= (SELECT max(ts) FROM events) - INTERVAL '1 day' GROUP BY ALL""")
+def stream_weekly(spark, sf_dir):
+    return T.drained(T.weekly(T.events(spark, sf_dir), "event_type"))
+
+
+@query("SELECT DISTINCT event_type || '/' || CAST(user_id % 3 AS VARCHAR) AS series, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute FROM events")
+def stream_first_values(spark, sf_dir):
+    """The first reading of each minute of a series of users."""
+    series = F.concat_ws("/", "event_type", (F.col("user_id") % 3).cast("string"))
+    found = T.first_values(T.events(spark, sf_dir).select(series.alias("series"), F.date_trunc("minute", "ts").alias("ts")), "30 days")
+    return T.drained(found).select("series", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"))
+
+
+CLOSED = "e AS (SELECT event_type AS series, ts, value FROM events WHERE date_trunc('hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour')"
+
+
+@query(f"""WITH {CLOSED}, r AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY ts, value) AS i, count(*) OVER (PARTITION BY series) AS n FROM e WHERE value IS NOT NULL)
+SELECT series, max(n) AS n, round(sum(CASE WHEN i = 1 THEN value * power(0.7, n - 1) ELSE 0.3 * value * power(0.7, n - i) END), 4) AS ewma FROM r GROUP BY series""")
 def stream_ewma(spark, sf_dir):
-    return T.drained(T.ewma(_values(spark, sf_dir))).select("series", "n", F.round("ewma", 4).alias("ewma"))
+    last = T.drained(T.ewma(_values(spark, sf_dir))).groupBy("series").agg(F.max_by(F.struct("n", "ewma"), "start").alias("l"))
+    return last.select("series", "l.n", F.round("l.ewma", 4).alias("ewma"))
 
 
-@query("WITH r AS (SELECT event_type AS series, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, value) AS p FROM events) SELECT series, CASE WHEN value > p THEN 'score_increased' ELSE 'score_decreased' END AS kind, count(*) AS n, round(sum(abs(value - p)), 2) AS moved FROM r WHERE abs(value - p) >= 5 GROUP BY ALL")
+@query(f"""WITH {CLOSED}, r AS (SELECT series, ts, value, lag(value) OVER (PARTITION BY series ORDER BY ts, value) AS p FROM e WHERE value IS NOT NULL)
+SELECT series, CASE WHEN value > p THEN 'score_increased' ELSE 'score_decreased' END AS kind, count(*) AS n, round(sum(abs(value - p)), 2) AS moved FROM r WHERE abs(value - p) >= 5 GROUP BY ALL""")
 def stream_changes(spark, sf_dir):
     return T.drained(T.changes(_values(spark, sf_dir))).groupBy("series", "kind").agg(F.count("*").alias("n"), F.round(F.sum("magnitude"), 2).alias("moved"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CLOSED}, fired AS (SELECT series, min(ts) AS ts FROM e GROUP BY series UNION ALL SELECT series, (SELECT min(x.ts) FROM e x WHERE x.series = fired.series AND x.ts >= fired.ts + INTERVAL '24 hours') FROM fired WHERE ts IS NOT NULL)
+SELECT series, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM fired WHERE ts IS NOT NULL""")
 def stream_cooldown(spark, sf_dir):
-    return T.drained(T.cooldown(_values(spark, sf_dir), 24))
+    return T.drained(T.cooldown(_values(spark, sf_dir), 24)).select("series", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))

@@ -19,13 +19,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """What the stream gives for all input that is there now; files in the shared folder."""
+def _written(stream: DataFrame) -> str:
+    """The folder, shared by all executors, to which the stream has written all there is now."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-stream-")
     at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return f"{at}/out"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What the stream gives for all input that is there now."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(_written(stream))
+
+
+def relayed(stream: DataFrame) -> DataFrame:
+    """The stream by way of a table: Spark has no steps with state of their own behind an aggregation in one query."""
+    return stream.sparkSession.readStream.schema(stream.schema).parquet(_written(stream))
 
 
 def deduplicated(stream: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
@@ -39,52 +53,100 @@ def daily(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return days.select(F.col(key).alias("series"), F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
 
 
-def _state(keyed: DataFrame, step, out: str, kept: str) -> DataFrame:
-    return keyed.groupBy("series").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+def weekly(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
+    """Counts of closed ISO weeks, Monday to Sunday: the windows of weekly digests."""
+    weeks = stream.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "7 days", "4 days"), F.col(key)).agg(F.count("*").alias("n"))  # the epoch was a Thursday
+    week = F.concat_ws("-W", F.extract(F.lit("YEAROFWEEK"), F.col("window.start")).cast("string"), F.lpad(F.weekofyear("window.start").cast("string"), 2, "0"))
+    return weeks.select(F.col(key).alias("series"), week.alias("week"), "n")
 
 
-def ewma(stream: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Running exponential mean of each series (series, ts, value); one double of state. Rows of one
-    batch are taken in the order of time."""
+def first_values(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """series, ts: each moment of a series once; a reading that comes again, or late within the watermark, is dropped."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "ts"]).select("series", "ts")
+
+
+def closed_windows(stream: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """series, start, at, rows (ts, value in order) of each window that the watermark has closed. What is held
+    at once is the rows of open windows; rows that come later than the watermark are dropped, so windows of a
+    series leave in order and what follows may rely on it."""
+    rows = F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("rows")
+    windows = stream.withWatermark("ts", late).groupBy(F.window("ts", every), "series").agg(rows)
+    return windows.select("series", F.col("window.start").alias("start"), F.window_time("window").alias("at"), "rows")
 
-    def step(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts", "value"])
-        mean = state.get[0] if state.exists else None
-        for v in rows["value"]:
-            mean = v if mean is None else alpha * v + (1 - alpha) * mean
-        state.update((float(mean),))
-        yield pd.DataFrame({"series": [key[0]], "n": [len(rows)], "ewma": [float(mean)]})
 
-    return _state(stream.select("series", "ts", "value"), step, "series string, n long, ewma double", "mean double")
+def _state(keyed: DataFrame, step, out: str, kept: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    """A step over the windows of a series: a small row for each window, and one of state for each series."""
+    keyed = keyed.withWatermark("at", "1 hour") if timeout == GroupStateTimeout.EventTimeTimeout else keyed
+    return keyed.groupBy("series").applyInPandasWithState(step, out, kept, "append", timeout)
 
 
-def changes(stream: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """Rows of a score stream (series, ts, value) that moved by the threshold since the row before."""
+def ewma(stream: DataFrame, alpha: float = 0.3, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """series, start, n, ewma: the running exponential mean of each series (series, ts, value) behind each
+    closed window. A window is folded to its number of rows and what they add; state carries the mean."""
+    added = F.aggregate("rows", F.lit(0.0), lambda m, r: (1 - alpha) * m + alpha * r["value"])
+    folded = closed_windows(stream.filter("value is not null"), every, late).select("series", "start", F.size("rows").alias("n"), added.alias("added"), F.col("rows")[0]["value"].alias("first"))
+
+    def step(key, frames, state: GroupState):
+        n, mean = state.get if state.exists else (0, None)
+        for frame in frames:
+            out = []
+            for w in frame.sort_values("start").itertuples():
+                mean = (w.first if mean is None else mean) * (1 - alpha) ** w.n + w.added  # the first value is its own mean
+                n += int(w.n)
+                out.append((key[0], w.start, n, float(mean)))
+            yield pd.DataFrame(out, columns=["series", "start", "n", "ewma"])
+        state.update((n, mean))
+
+    return _state(relayed(folded), step, "series string, start timestamp, n long, ewma double", "n long, mean double")
+
+
+def changes(stream: DataFrame, threshold: float = 5.0, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """series, ts, kind, magnitude: rows of a score stream (series, ts, value) that moved by the threshold since
+    the row before. Inside of a window rows are compared with each other, and the first one with the last of
+    the window before, which is all that state carries."""
+    windows = closed_windows(stream.filter("value is not null"), every, late)
+    pairs = F.zip_with(F.slice("rows", F.lit(1), F.size("rows") - 1), F.slice("rows", F.lit(2), F.size("rows")), lambda a, b: F.struct(b["ts"].alias("ts"), (b["value"] - a["value"]).alias("move")))
+    windows = relayed(windows)
+    inside = windows.select("series", F.explode(F.filter(pairs, lambda p: F.abs(p["move"]) >= threshold)).alias("p")).select("series", "p.ts", "p.move")
+    ends = windows.select("series", F.col("rows")[0]["ts"].alias("ts"), F.col("rows")[0]["value"].alias("first"), F.element_at("rows", -1)["value"].alias("last"))
 
     def step(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts", "value"])
-        last, out = state.get[0] if state.exists else None, []
-        for ts, v in zip(rows["ts"], rows["value"]):
-            if last is not None and abs(v - last) >= threshold:
-                out.append((key[0], ts, "score_increased" if v > last else "score_decreased", float(abs(v - last))))
-            last = float(v)
+        last = state.get[0] if state.exists else None
+        for frame in frames:
+            out = []
+            for w in frame.sort_values("ts").itertuples():
+                if last is not None and abs(w.first - last) >= threshold:
+                    out.append((key[0], w.ts, float(w.first - last)))
+                last = float(w.last)
+            yield pd.DataFrame(out, columns=["series", "ts", "move"])
         state.update((last,))
-        yield pd.DataFrame(out, columns=["series", "ts", "kind", "magnitude"])
 
-    return _state(stream.select("series", "ts", "value"), step, "series string, ts timestamp, kind string, magnitude double", "last double")
+    borders = _state(ends, step, "series string, ts timestamp, move double", "last double")
+    kind = F.when(F.col("move") > 0, "score_increased").otherwise("score_decreased")
+    return inside.unionByName(borders).select("series", "ts", kind.alias("kind"), F.abs("move").alias("magnitude"))
 
 
-def cooldown(stream: DataFrame, hours: int) -> DataFrame:
-    """Rows that fire: none within `hours` after one that fired, for each series."""
+def cooldown(stream: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
+    """series, ts: rows that fire: none within `hours` after one that fired. A window is no longer than an hour or
+    the cooldown, so at most one row of it fires: the first from the time on when the series is free, which is
+    the state, and is dropped when that time has passed."""
+    windows = closed_windows(stream.withColumn("value", F.lit(None).cast("double")), f"{max(1, min(60, hours * 60))} minutes", late)
+    times = windows.select("series", "start", "at", F.array_distinct(F.transform("rows", lambda r: F.unix_micros(r["ts"]))).alias("times"))
 
     def step(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values("ts")
-        free, out = pd.Timestamp(state.get[0], unit="s") if state.exists else pd.Timestamp.min, []
-        for ts in rows["ts"]:
-            if ts >= free:
-                out.append((key[0], ts))
-                free = ts + pd.Timedelta(hours=hours)
-        state.update((int(free.timestamp()),))
-        yield pd.DataFrame(out, columns=["series", "ts"])
-
-    return _state(stream.select("series", "ts"), step, "series string, ts timestamp", "free long")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        free = state.get[0] if state.exists else -(1 << 62)
+        for frame in frames:
+            out = []
+            for w in frame.sort_values("start").itertuples():
+                fit = [t for t in w.times if t >= free]
+                if fit:
+                    out.append((key[0], pd.Timestamp(fit[0], unit="us")))
+                    free = int(fit[0]) + hours * 3_600_000_000
+            yield pd.DataFrame(out, columns=["series", "ts"])
+        state.update((free,))
+        state.setTimeoutTimestamp(max(free // 1000, state.getCurrentWatermarkMs() + 1))
+
+    return _state(relayed(times), step, "series string, ts timestamp", "free long", GroupStateTimeout.EventTimeTimeout)
