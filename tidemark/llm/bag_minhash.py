@@ -12,13 +12,23 @@ more than a block for each power of two. Points come in the order of time, so a
 when it passes the latest slot of the text: about m ln m points a text besides one a shingle.
 
 Bands of `rows` slots are hashed to buckets. At similarity s a pair misses all buckets with
-probability (1 - s^rows)^bands: 5e-7 at 0.8 with 48 bands of 6.
-
-Copies of one text are a single vertex throughout. Of a bucket's members at first only one is
-compared with all others, however many there are; verified pairs form components; see link_rounds(). In
-the end members of one bucket that are in different components have all been compared, so no
-link between different texts is lost. Pairs are bounded by length beforehand (at similarity t the
-shorter has at least t times the shingles), and verified on the exact multisets.
+probability (1 - s^rows)^bands: 0.010 at 0.8 and 0.0005 at 0.85 with 32 bands of 9; links that a
+pair misses itself are mostly made through a third text.
+
+Linking. Copies of one text are a single vertex throughout. A bucket's members are compared with
+one of them, its pivot (the member that shares most buckets with others, so that buckets of the same
+texts have the same pivot and are one group). Verified pairs form components. Members that are
+then outside their pivot's component, and only they, have to be compared with the rest of the group,
+and this is done without forming all pairs. With d(x) the symmetric difference of x and the
+pivot, x and y have the symmetric difference |d(x)| + |d(y)| - 2 |d(x) & d(y)|, which a link bounds by
+k (|x| + |y|), k = (1 - s) / (1 + s). So a link needs |d(x) & d(y)| >= (a(x) + a(y)) / 2 with
+a(x) = |d(x)| - k |x|. A member apart from the pivot has a > k |pivot|, any has a >= -k |pivot|; hence
+both share one of the first |d| - t + 1 elements of d in any order that is the same for the whole
+group, t being the bound from what is known of the partner. The order is that of rarity in the
+group, so that most members share none of them, and a pair also needs as many elements as are left
+behind the first it shares. Members are regrouped by such elements; regroups with few pairs are compared outright, the others get a pivot of their own and go
+round again. No pair of a bucket that could be a link is left out. All pairs are verified on the
+exact multisets; pairs whose lengths rule a link out aren't looked at.
 
 Defined results: a text without words, or null, is in a class with its equals only; rows with the
 same text are in one class; the class is named by its least document id (null counts as least);
@@ -27,19 +37,21 @@ repeated rows each get a row; further columns are not returned by classes().
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, claim, stored
 from .components import components
 
-BANDS, ROWS, WORDS, SIMILARITY = 48, 6, 5, 0.8
-CHUNK = 300_000  # shingles that are worked on at once
-SIDE = 128  # rows of a block
+BANDS, ROWS, WORDS, SIMILARITY = 32, 9, 5, 0.8
+CHUNK = 150_000  # shingles that are worked on at once
+DIRECT = 512  # pairs a member up to which a group is compared outright; eight times as many in each further round
+COPIES = 4096  # members that share one copy of a pivot's multiset
 
 _U = np.uint64
 
@@ -76,8 +88,18 @@ def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def signatures(docs: list[np.ndarray], slots: int) -> np.ndarray:
-    """documents x slots: for each slot a number that stands for the winning point."""
+    """documents x slots: for each slot a number that stands for the winning point. Shingles are
+    taken CHUNK at a time, so that a very long text needs no more memory than many short ones."""
     owner, shingle, count = counted(docs)
+    earliest = np.full(len(docs) * slots, np.inf)
+    winner = np.zeros(len(docs) * slots, _U)
+    for at in range(0, len(owner), CHUNK):
+        _race(owner[at : at + CHUNK], shingle[at : at + CHUNK], count[at : at + CHUNK], slots, earliest, winner)
+    return winner.reshape(-1, slots)
+
+
+def _race(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, slots: int, earliest: np.ndarray, winner: np.ndarray) -> None:
+    """Let the points of these shingles compete for the slots of their documents."""
     doc, seed, low, width, most = [], [], [], [], []
     block, bottom = 0, 0
     while len(owner):  # the blocks that begin below the count
@@ -90,10 +112,6 @@ def signatures(docs: list[np.ndarray], slots: int) -> np.ndarray:
         bottom, block = bottom + w, block + 1
         more = count > bottom
         owner, shingle, count = owner[more], shingle[more], count[more]
-    earliest = np.full(len(docs) * slots, np.inf)
-    winner = np.zeros(len(docs) * slots, _U)
-    if not doc:
-        return winner.reshape(-1, slots)
     doc, seed, low, width, most = map(np.concatenate, (doc, seed, low, width, most))
     time, step = np.zeros(len(doc)), 0
     while len(doc):
@@ -109,7 +127,6 @@ def signatures(docs: list[np.ndarray], slots: int) -> np.ndarray:
         latest = earliest.reshape(-1, slots).max(1)
         going = time < latest[doc]
         doc, seed, low, width, most, time = (x[going] for x in (doc, seed, low, width, most, time))
-    return winner.reshape(-1, slots)
 
 
 def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -138,16 +155,18 @@ def vertices(docs: DataFrame, bands: int, rows: int, words: int, id_col: str = "
     bounded_batches(docs.sparkSession)
 
     def sign(batches):
+        claim("bag_minhash")
         for b in batches:
-            texts, sets, start = b.column("text").to_pylist(), [], 0
+            texts, sets, start, held = b.column("text").to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 sets.append(shingles(t, words))
-                if sum(map(len, sets)) >= CHUNK or i + 1 == len(texts):
+                held += len(sets[-1])
+                if held >= CHUNK or i + 1 == len(texts):
                     n = np.array([len(s) for s in sets])
                     hashes = band_hashes(signatures(sets, bands * rows), bands)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((n > 0) * bands)), pa.int32()), pa.array(hashes[n > 0].ravel()))
                     yield pa.RecordBatch.from_arrays([*(b.column(k).slice(start, len(sets)) for k in ("doc_id", "v")), pa.array(n, pa.int64()), lists], names=["doc_id", "v", "n", "bands"])
-                    sets, start = [], i + 1
+                    sets, start, held = [], i + 1, 0
 
     rows_ = _texts(docs, id_col, text_col)
     signed = rows_.mapInArrow(sign, f"doc_id {rows_.schema['doc_id'].dataType.simpleString()}, v binary, n long, bands array<long>")
@@ -159,6 +178,7 @@ def element_sets(verts: DataFrame, wanted: DataFrame, docs: DataFrame, words: in
     """vid, elements (the multiset as a sorted set) for the vertices in `wanted`, from a text of each."""
 
     def elements(batches):
+        claim("bag_minhash")
         for b in batches:
             lists = [as_set(shingles(t, words)) for t in b.column("text").to_pylist()]
             values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists or [np.zeros(0, np.int64)])))
@@ -170,105 +190,124 @@ def element_sets(verts: DataFrame, wanted: DataFrame, docs: DataFrame, words: in
     return stored(found.mapInArrow(elements, "vid long, elements array<long>"), "minhash-sets")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """`pairs` (p, vid, copies, ...) with the multisets of both, left (of p) and right (of vid). A
+    p with very many partners is copied `copies` times, and its partners are dealt over the copies."""
+    copy = F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int")
+    wanted = pairs.groupBy("p").agg(F.max("copies").alias("most")).select("p", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1)).alias("copy"))
+    left = wanted.join(sets.select(F.col("vid").alias("p"), F.col("elements").alias("left")), "p")
+    right = sets.select("vid", F.col("elements").alias("right"))
+    return pairs.withColumn("copy", copy).join(right, "vid").join(left, ["p", "copy"])
+
+
+def _near(m: Column, n: Column, similarity: float) -> Column:
+    return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b: vid) whose multisets overlap enough."""
-    left = sets.select(F.col("vid").alias("a"), F.col("elements").alias("left"))
-    right = sets.select(F.col("vid").alias("b"), F.col("elements").alias("right"))
+    """Those of `pairs` (p, vid, copies) whose multisets overlap enough, as a, b."""
     common = F.size(F.array_intersect("left", "right"))
     enough = common >= similarity * (F.size("left") + F.size("right") - common) - 1e-9
-    return stored(pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b"), "minhash-links")
+    return stored(_with_sets(pairs, sets).filter(enough).select(F.least("p", "vid").alias("a"), F.greatest("p", "vid").alias("b")), "minhash-links")
 
 
-def _near(m, n, similarity: float):
-    return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+def around_pivots(members: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """members (g, vid, n) as p, pn, copies, vid, n: every member with the pivot of its group, groups with
+    the same pivot together. A vertex is a pivot in one round only; as second table, members (g, vid, n) of
+    groups of which all have been pivots."""
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "g").groupBy("vid").agg(F.sum("size").alias("weight"))
+    weights = weights.withColumn("fresh", F.lit(True)) if used is None else weights.join(used.withColumn("seen", F.lit(True)), "vid", "left").select("vid", "weight", F.col("seen").isNull().alias("fresh"))
+    heads = members.join(weights, "vid").groupBy("g").agg(F.max(F.struct("fresh", "weight", F.xxhash64("vid"), "vid", "n")).alias("head"))
+    rows = members.join(heads, "g")
+    copies = (F.col("head.weight") / COPIES).cast("int") + 1
+    stars = rows.filter("head.fresh").select(F.col("head.vid").alias("p"), F.col("head.n").alias("pn"), copies.alias("copies"), "vid", "n")
+    return stored(stars.filter("vid != p").distinct(), "minhash-stars"), rows.filter("not head.fresh").select("g", "vid", "n")
 
 
-def in_blocks(open_: DataFrame, verts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) in large buckets between members outside the largest component (apart) and members of
-    other components. Both sides are cut into blocks; each two blocks meet in one group, of at most
-    about 2 * SIDE rows. A pair is looked at in the first bucket that it shares only."""
-    cut = lambda size: F.ceil(F.col(size) / SIDE)
-    at = lambda size: F.pmod(F.xxhash64("vid", "bucket"), cut(size))
-    rows = open_.join(sets, "vid").join(verts.select("vid", "bands"), "vid")
-    ask = rows.filter("label != main").select("*", at("apart").alias("i"), F.explode(F.sequence(F.lit(0), cut("all") - 1)).alias("j"), F.lit(True).alias("asks"))
-    told = rows.select("*", F.explode(F.sequence(F.lit(0), cut("apart") - 1)).alias("i"), at("all").alias("j"), F.lit(False).alias("asks"))
-    both = ask.unionByName(told).select("bucket", "i", "j", "asks", "vid", "label", (F.col("label") != F.col("main")).alias("apart"), "n", "elements", "bands")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        members = group[~group["asks"]]
-        if len(members):
-            bucket = group["bucket"].iloc[0]
-            bands = np.stack(members["bands"].to_numpy())
-            vid, label, apart, n = (members[c].to_numpy() for c in ("vid", "label", "apart", "n"))
-            sizes = members["elements"].map(len).to_numpy()
-            flat, starts = np.concatenate(members["elements"].to_numpy()), np.cumsum(sizes) - sizes
-            for x in group[group["asks"]].itertuples():
-                same = bands == np.asarray(x.bands)
-                first = bands[np.arange(len(bands)), same.argmax(1)] == bucket
-                take = first & (label != x.label) & (~apart | (vid > x.vid)) & (np.minimum(n, x.n) >= similarity * np.maximum(n, x.n) - 1e-9)
-                if not take.any():
-                    continue
-                own = np.sort(np.asarray(x.elements))
-                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                common = np.add.reduceat(hit, starts)
-                out += [(min(x.vid, v), max(x.vid, v)) for v in vid[take & (common >= similarity * (sizes + len(own) - common) - 1e-9)].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return stored(both.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long"), "minhash-links")
-
-
-def link_rounds(shared: DataFrame, verts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """v, label of vertices with links; shared: bucket, vid, n of buckets with several vertices.
-
-    Each round compares the members of a bucket with one member of its largest component, another in
-    every round and bucket, which gives at most a pair for each member. Once a round adds less than a
-    hundredth to the links, all members outside their bucket's largest component are compared
-    with those of other components: by pairs in small buckets, in blocks in large ones."""
-    open_ = shared.withColumn("label", F.col("vid"))
-    links = tried = labels = None
-    step, total, last = 0, 0, False
-    while True:
-        sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("vid", "n"), F.xxhash64("vid", "bucket", F.lit(step))).alias("one"))
-        mains = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "one", "size"), F.struct("size", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("size").alias("all")).filter("kinds > 1")
-        mains = mains.select("bucket", F.col("main.label").alias("main"), F.col("main.one").alias("one"), "all", (F.col("all") - F.col("main.size")).alias("apart"))
-        open_ = stored(open_.select("bucket", "vid", "n", "label").join(mains, "bucket"), "minhash-open")
-        apart = open_.filter("label != main")
-        small = F.col("all") * F.col("apart") <= SIDE * SIDE / 4
-        if last:
-            x = apart.filter(small).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("vid", "n", "label")])
-            pairs = x.join(open_, "bucket").filter((F.col("label1") != F.col("label")) & _near(F.col("n1"), F.col("n"), similarity)).select(F.col("vid1").alias("x"), F.col("vid").alias("y"))
-        else:
-            pairs = apart.filter(_near(F.col("n"), F.col("one.n"), similarity)).select(F.col("vid").alias("x"), F.col("one.vid").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        found = verified(pairs, sets, similarity)
-        if last:
-            found = found.union(in_blocks(open_.filter(~small), verts, sets, similarity))
-        new = found.count()
-        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
-        if new:
-            labels = components(links)
-            open_ = open_.select("bucket", "vid", "n").join(labels, open_.vid == labels.v, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("label"))
-        if last:
+def _labelled(rows: DataFrame, labels: DataFrame | None, of: str, name: str) -> DataFrame:
+    if labels is None:
+        return rows.withColumn(name, F.col(of))
+    found = labels.select(F.col("v").alias(of), F.col("label").alias(name))
+    return rows.join(found, of, "left").withColumn(name, F.coalesce(name, of))
+
+
+def regrouped(stars: DataFrame, sets: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """Of groups with members apart from their pivot: a row for each member and element of its
+    difference from the pivot by which it may have to be compared: p, e, vid, n, label, apart, short."""
+    marked = _labelled(_labelled(stars, labels, "vid", "label"), labels, "p", "main").withColumn("apart", F.col("label") != F.col("main"))
+    open_ = marked.groupBy("p").agg(F.count("*").alias("size"), F.sum(F.col("apart").cast("int")).alias("away")).filter("away > 0 and size > 1").select("p")
+    both = _with_sets(marked.join(open_, "p"), sets)
+    k = (1 - similarity) / (1 + similarity)
+    m, excess = F.size("d"), F.size("d") - k * F.col("n")
+    first = lambda other: F.greatest(F.lit(0), F.least(m, m - F.ceil((excess + other) / 2 - 1e-9).cast("int") + 1))
+    cut = both.select("p", "pn", "vid", "n", "label", "apart", F.concat(F.array_except("right", "left"), F.array_except("left", "right")).alias("d"))
+    cut = stored(cut.select("p", "d", F.struct("vid", "n", "label", "apart", m.alias("m"), excess.alias("a"), first(k * F.col("pn")).alias("few"), first(-k * F.col("pn")).alias("many")).alias("x")), "minhash-differences")
+    rows = cut.select("p", "x", F.explode("d").alias("e"))
+    often = rows.groupBy("p", "e").agg(F.count("*").alias("f"))
+    # of one text's elements, the rarest of the group first
+    ranked = rows.join(often, ["p", "e"]).groupBy("p", "x").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("d"))
+    needed = F.slice("d", F.lit(1), F.when(F.col("x.apart"), F.col("x.many")).otherwise(F.col("x.few")))
+    placed = ranked.select("p", "x", F.posexplode(needed).alias("at", "d")).filter("d.f > 1")
+    return stored(placed.select("p", "d.e", "x.vid", "x.n", "x.label", "x.apart", "x.a", (F.col("x.m") - F.col("at")).alias("left"), (F.col("at") < F.col("x.few")).alias("short")), "minhash-prefixes")
+
+
+def link(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """v, label of vertices with links; members: g, vid, n of buckets with several vertices."""
+    links = tried = used = labels = None
+    for step in count():
+        stars, rest = around_pivots(members, used)
+        pivots = stars.select(F.col("p").alias("vid")).distinct()
+        first = used is None
+        used = pivots if first else used.union(pivots).distinct()
+        told = _labelled(_labelled(stars, labels, "vid", "label"), labels, "p", "main").filter("label != main")
+        pairs = told.filter(_near(F.col("n"), F.col("pn"), similarity)).select("p", "vid", "copies")
+
+        def try_(pairs: DataFrame) -> None:
+            nonlocal links, tried, labels
+            ordered = pairs.withColumn("a", F.least("p", "vid")).withColumn("b", F.greatest("p", "vid")).dropDuplicates(["a", "b"])
+            new = stored((ordered if tried is None else ordered.join(tried, ["a", "b"], "left_anti")).select("p", "vid", "copies", "a", "b"), "minhash-pairs")
+            tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
+            found = verified(new.select("p", "vid", "copies"), sets, similarity)
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = components(links)
+
+        if not first:
+            both = rest.join(rest.select("g", F.col("vid").alias("p"), F.col("n").alias("pn")), "g").filter("p < vid")
+            pairs = pairs.union(both.filter(_near(F.col("n"), F.col("pn"), similarity)).select("p", "vid", F.lit(1).alias("copies")))
+        try_(pairs)
+        rows = regrouped(stars, sets, labels, similarity)
+        away, short = F.col("apart").cast("int"), F.col("short").cast("int")
+        groups = rows.groupBy("p", "e").agg(F.count("*").alias("size"), F.sum(away).alias("away"), F.sum(short).alias("short_"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+        few = F.col("away") * F.col("short_") <= DIRECT * 8**step * F.col("size")
+        groups = stored(groups.filter("away > 0 and short_ > 0 and size > 1 and l1 != l2").select("p", "e", few.alias("few")), "minhash-regroups")
+        some = rows.join(groups, ["p", "e"])
+        x = some.filter("few and apart").select("p", "e", *[F.col(c).alias(f"{c}1") for c in ("vid", "n", "label", "short", "a", "left")])
+        # from the first element that two have in common on, each must have as many as they need in common
+        enough = F.least("left1", "left") >= (F.col("a1") + F.col("a")) / 2 - 1e-9
+        open_ = (F.col("label1") != F.col("label")) & (F.col("short1") | F.col("short")) & _near(F.col("n1"), F.col("n"), similarity)
+        meet = x.join(some.filter("few").drop("apart", "few"), ["p", "e"]).filter(open_ & enough)
+        try_(meet.select(F.col("vid1").alias("p"), "vid", F.lit(1).alias("copies")))
+        members = stored(some.filter("not few").select(F.xxhash64("p", "e").alias("g"), "vid", "n").distinct(), "minhash-members")
+        if members.isEmpty():
             return labels
-        total += new
-        last = new * 100 <= total
-        step += 1
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, v (digest of the text), class_id for each row of `docs`."""
+    """doc_id, v (digest of the text), class_id, head (the digest of the text of that id which stands
+    for the class, for ids may repeat) for each row of `docs`."""
     verts = vertices(docs, bands, rows, words, id_col, text_col)
-    member = verts.select(F.explode("bands").alias("bucket"), "vid", "n")
-    several = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    shared = stored(member.join(several, "bucket"), "minhash-members")
-    labels = link_rounds(shared, verts, element_sets(verts, shared, docs, words, id_col, text_col), similarity)
+    member = verts.select(F.explode("bands").alias("g"), "vid", "n")
+    several = member.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
+    shared = stored(member.join(several, "g"), "minhash-members")
+    labels = link(shared, element_sets(verts, shared, docs, words, id_col, text_col), similarity)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "v long, label long")
     named = verts.select("v", "vid", "rep").join(labels.withColumnRenamed("v", "of"), F.col("vid") == F.col("of"))
-    least = named.groupBy("label").agg(F.min(F.struct("rep")).getField("rep").alias("class_id"))
-    linked = stored(named.join(least, "label").select("v", "class_id"), "minhash-classes")
-    alone = verts.select("v", "rep")
-    ids = stored(alone.join(linked, "v", "left").select("v", F.coalesce("class_id", "rep").alias("class_id")), "minhash-names")
+    least = named.groupBy("label").agg(F.min(F.struct("rep", "v")).alias("least"))
+    linked = stored(named.join(least, "label").select("v", "least"), "minhash-classes")
+    own = F.struct("rep", "v")
+    ids = verts.select("v", "rep").join(linked, "v", "left").select("v", F.coalesce("least", own).alias("least"))
+    ids = stored(ids.select("v", F.col("least.rep").alias("class_id"), F.col("least.v").alias("head")), "minhash-names")
     return _texts(docs, id_col, text_col).select("doc_id", "v").join(ids, "v")
