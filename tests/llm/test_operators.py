@@ -1,6 +1,7 @@
 """The operators against brute force, round trips, held-out accuracy, and cases at the edge."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -110,6 +111,48 @@ def test_transcripts(spark):
     assert transcripts.parse(transcripts.labelled(odd.limit(0)), model).count() == 0
 
 
+def test_viterbi_by_enumeration():
+    r = np.random.default_rng(8)
+    log = lambda *shape: np.log(r.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    for n in (1, 2, 4):
+        model = transcripts.Model(log(6), log(6, 6), [log(6, k) for k in transcripts.VALUES])
+        seen = np.stack([r.integers(0, k, n) for k in transcripts.VALUES], 1)
+        score = transcripts.scores(seen, model)
+        value = lambda p: model.start[p[0]] + score[0, p[0]] + sum(model.step[a, b] + score[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))  # noqa: B023, E731
+        assert tuple(transcripts.viterbi(seen, model)) == max(itertools.product(range(6), repeat=n), key=value)
+
+
+def test_long_conversation_is_decoded_as_a_whole(spark, monkeypatch):
+    """In blocks of four turns, and with many rows of one turn number, as in one piece."""
+    conversations = spark.read.parquet(f"{SF}/conversations.parquet")
+    model = transcripts.fit(transcripts.labelled(conversations))
+    r = random.Random(9)
+    turns = [x["text"] for x in conversations.collect()]
+    rows = [(7, k if k < 20 else 20, ("user", "assistant")[k % 2], r.choice(turns) + ("\n" if k % 5 == 0 else "")) for k in range(40)]
+    monkeypatch.setattr(transcripts, "TURNS", 4)
+    raw = transcripts.labelled(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    texts = {tuple(x["block"]): x["text"] for x in raw.collect()}
+    found = {tuple(x["block"]): x["found"] for x in transcripts.parse(raw, model).collect()}
+    order = sorted(texts)
+    assert len(order) > 8 and found.keys() == texts.keys()
+    whole = transcripts.viterbi(transcripts.features("\n".join(texts[k] for k in order).split("\n")), model)
+    assert [s for k in order for s in found[k]] == whole.tolist()
+
+
+def test_transcripts_of_an_unseen_style(spark):
+    """Learned on three ways to mark speakers, held against a fourth whose names are in no table."""
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = transcripts.fit(transcripts.labelled(conversations, transcripts.STYLES[:3]))
+    shares = []
+    for names in (transcripts.STYLES[3:], (("Note", "Customer", "Agent"),)):
+        raw = transcripts.labelled(conversations, names)
+        found = transcripts.parse(raw, model).join(raw.select("conv_id", "block", "states"), ["conv_id", "block"]).collect()
+        lines = [(a, b) for x in found for a, b in zip(x["found"], x["states"])]
+        shares.append((sum(a == b for a, b in lines) / len(lines), sum(a % 2 == b % 2 for a, b in lines) / len(lines)))
+    print("unseen style with known names, with unknown names: share of lines with the right state, right begin of turn", shares)
+    assert shares[0][0] > 0.9 and shares[1][1] > 0.8
+
+
 def test_decontamination_edges(spark, edges, empty):
     items = spark.createDataFrame([(1, "LINE of many words"), (2, LINE), (3, None), (4, "..."), (2, LINE)], "item_id long, text string")
     for small in (200_000, 1):  # broadcast, and shuffled

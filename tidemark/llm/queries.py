@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, quality, token_counts, token_ids, transcripts
-from .common import documents
+from .common import documents, stored
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,11 @@ def op2_told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, block, n_lines, n_turns, roles and the canonical text of every conversation."""
+    """conv_id, block (its number), n_lines, n_turns, roles and the canonical text of every block of up to 512 turns of a conversation."""
     raw = transcripts.labelled(documents(spark, sf_dir, "conversations"))
     model = transcripts.fit(raw.filter(~language_id.held_out(F.col("conv_id"))))
-    return transcripts.parse(raw, model).drop("part", "found")
+    found = transcripts.parse(stored(raw, "transcripts"), model)
+    return found.select("conv_id", F.concat_ws(".", "block.high", "block.low").alias("block"), "n_lines", "n_turns", "roles", "rendered")
 
 
 def op4_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ given the state these are independent. Probabilities are counts over labelled tr
 added to each; counts are summed by Spark and number states x values. Viterbi finds the likeliest
 sequence of states, and each turn is rendered as <|role|>, its text without the marker, <|end|>.
 
-A conversation is decoded in blocks of TURNS turns, each with a fresh start, so that no group is
-larger than that, whatever conversation a third of the rows belongs to.
+A conversation is held in blocks of at most TURNS turns, so that no task needs more of it at once, whatever
+conversation a third of the rows belongs to; its result is a row a block. Decoding isn't cut by that.
+For each block of a long conversation the best score from every state before it to every state at its
+end is computed by itself; folding these small matrices in order gives the states at all borders of the
+best sequence, and with its two borders fixed each block is decoded as a part of it.
 
 Defined results: equal rows of a conversation are one turn; rows of one turn number follow in the
 order of role and text; a null text is an empty turn; a null or unknown role counts as a
@@ -24,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
 ROLES = ("system", "user", "assistant")
 TURNS = 512
+KEYS, BLOCK = ("conv_id", "part", "block"), "struct<high:bigint,low:bigint>"
 # Names that speakers go by.
 NAMES = {
     "system": 0, "instruction": 0, "context": 0,
@@ -42,10 +47,9 @@ STATES = len(ROLES) * 2  # role * 2 + (1 if the line begins a turn)
 VALUES = (5, 2, 5, 3, 2)  # how many values each feature has
 
 
-def features(lines: list[str]) -> np.ndarray:
-    """lines x features."""
+def features(lines: list[str], first: bool = True, blank: bool = False) -> np.ndarray:
+    """lines x features; first: nothing comes before; blank: what comes before is a blank line."""
     out = np.zeros((len(lines), len(VALUES)), np.int64)
-    blank = False
     for i, line in enumerate(lines):
         m = MARKER.match(line)
         plain = line.rstrip()
@@ -55,7 +59,7 @@ def features(lines: list[str]) -> np.ndarray:
             blank,
             0 if not plain else 1 + (words > 5) + (words > 20) + (words > 60),
             0 if not plain else 2 if plain[-1] in "?:" else 1,
-            i == 0,
+            first and i == 0,
         )
         blank = not plain
     return out
@@ -68,21 +72,56 @@ class Model:
     emit: list[np.ndarray]  # log probabilities: states x values for each feature
 
 
-def viterbi(seen: np.ndarray, model: Model) -> np.ndarray:
-    score = sum(e[:, seen[:, k]].T for k, e in enumerate(model.emit))
+def scores(seen: np.ndarray, model: Model) -> np.ndarray:
+    return sum(e[:, seen[:, k]].T for k, e in enumerate(model.emit))
+
+
+def viterbi(seen: np.ndarray, model: Model, before: int = -1, last: int = -1) -> np.ndarray:
+    """The likeliest states of lines; before: the state in front of them, last: their last one, if known."""
+    score = scores(seen, model)
     back = np.zeros(score.shape, np.int64)
-    best = model.start + score[0]
+    best = (model.start if before < 0 else model.step[before]) + score[0]
     for i in range(1, len(score)):
         ways = best[:, None] + model.step
         back[i] = ways.argmax(0)
         best = ways.max(0) + score[i]
     path = np.zeros(len(score), np.int64)
-    path[-1] = best.argmax()
+    path[-1] = best.argmax() if last < 0 else last
     for i in range(len(score) - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path
 
 
+def across(lines: list[str], model: Model) -> list[float]:
+    """Best scores over a block, flat: to each state at its end, from the start of the conversation, then from each
+    state before it, if the line before isn't blank, and if it is."""
+    out = []
+    for first, blank in ((True, False), (False, False), (False, True)):
+        score = scores(features(lines, first, blank), model)
+        best = (model.start[None] if first else model.step) + score[0]
+        for row in score[1:]:
+            best = (best[:, :, None] + model.step).max(1) + row
+        out += best.ravel().tolist()
+    return out
+
+
+def borders(blocks: list[tuple[list[float], bool]]) -> list[tuple[int, int, bool]]:
+    """For the blocks of a conversation (across(), whether its last line is blank): the state before each, at its
+    end, and whether the line before is blank."""
+    best, backs, blank = None, [], False
+    for flat, own_blank in blocks:
+        start, rest = np.array(flat[:STATES]), np.array(flat[STATES:]).reshape(2, STATES, STATES)
+        ways = start[None] if best is None else best[:, None] + rest[int(blank)]
+        backs.append((ways.argmax(0), blank))
+        best, blank = ways.max(0), own_blank
+    end, out = int(best.argmax()), []
+    for k in range(len(backs) - 1, -1, -1):
+        before = int(backs[k][0][end]) if k else -1
+        out.append((before, end, backs[k][1]))
+        end = before
+    return out[::-1]
+
+
 def render(lines: list[str], path: np.ndarray) -> tuple[list[str], str]:
     """Roles of the turns, and the canonical text."""
     roles: list[str] = []
@@ -97,16 +136,24 @@ def render(lines: list[str], path: np.ndarray) -> tuple[list[str], str]:
     return roles, "".join(f"<|{r}|>\n{chr(10).join(t).strip()}\n<|end|>\n" for r, t in zip(roles, turns))
 
 
-def labelled(conversations: DataFrame) -> DataFrame:
-    """conv_id, block, part, text (a raw transcript), states (of its lines) for each block.
+#: Ways to mark system, user and assistant.
+STYLES = (("System", "User", "Assistant"), ("### Instruction", "### Human", "### Assistant"), ("[system]", "[user]", "[assistant]"), ("Context", "Q", "A"))
+
+
+def labelled(conversations: DataFrame, names: tuple[tuple[str, str, str], ...] = STYLES) -> DataFrame:
+    """conv_id, part, block, text (a raw transcript), states (of its lines) for each block.
 
-    The raw form that the table's turns are put in: a marker in one of the ways in use, chosen for
+    The raw form that the table's turns are put in: a marker in one of the ways of `names`, chosen for
     each conversation, and none for one turn in eight, which only a blank line sets off."""
     bounded_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
-    blocks = rows.groupBy("conv_id", F.floor(F.col("turn") / TURNS).alias("block"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), (F.abs(F.xxhash64("conv_id")) % 4).cast("int").alias("style"))
-    names = (("System", "User", "Assistant"), ("### Instruction", "### Human", "### Assistant"), ("[system]", "[user]", "[assistant]"), ("Context", "Q", "A"))
+    rows = rows.withColumn("part", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0))
+    # by turn numbers first, which cut a conversation without sorting it as a whole; then by place where many rows have one number
+    rows = rows.withColumn("high", F.when(F.col("conv_id").isNull(), 0).otherwise(F.floor(F.col("turn") / TURNS)))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part", "high").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("block", F.struct("high", F.floor((place - 1) / TURNS).alias("low")))
+    turns, style = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.pmod(F.xxhash64("conv_id"), F.lit(len(names))).cast("int").alias("style")
+    blocks = rows.groupBy("conv_id", "part", "block").agg(turns, style)
 
     def lay_out(batches):
         for b in batches:
@@ -125,14 +172,14 @@ def labelled(conversations: DataFrame) -> DataFrame:
                     own += [role * 2 + 1] + [role * 2] * (len(body) - 1)
                 texts.append("\n".join(lines))
                 states.append(own)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "block", "part")), pa.array(texts, pa.string()), pa.array(states, pa.list_(pa.int32()))], names=["conv_id", "block", "part", "text", "states"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "part", "block")), pa.array(texts, pa.string()), pa.array(states, pa.list_(pa.int32()))], names=["conv_id", "part", "block", "text", "states"])
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return blocks.mapInArrow(lay_out, f"conv_id {kind}, block long, part long, text string, states array<int>")
+    return blocks.mapInArrow(lay_out, f"conv_id {kind}, part long, block {BLOCK}, text string, states array<int>")
 
 
 def fit(transcripts: DataFrame) -> Model:
-    """Counts over transcripts (text, states), each with one added."""
+    """Counts over the first blocks of transcripts (block, text, states), each with one added."""
 
     def count(batches):
         total: dict[tuple[int, int, int], int] = {}
@@ -146,7 +193,7 @@ def fit(transcripts: DataFrame) -> Model:
         columns = [[k[i] for k in total] for i in range(3)]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(total.values(), pa.int64())], names=["what", "state", "value", "n"])
 
-    counts = transcripts.select("text", "states").mapInArrow(count, "what int, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
+    counts = transcripts.filter("block.high = 0 and block.low = 0").select("text", "states").mapInArrow(count, "what int, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
     start, step, emit = np.ones(STATES), np.ones((STATES, STATES)), [np.ones((STATES, n)) for n in VALUES]
     for what, state, value, n in counts.collect():
         if what == -2:
@@ -158,8 +205,36 @@ def fit(transcripts: DataFrame) -> Model:
     return Model(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
 
 
+def _borders(transcripts: DataFrame, shared: Broadcast) -> DataFrame:
+    """conv_id, part, block, before, last, blank for the blocks of conversations that have several."""
+
+    def over(batches):
+        for b in batches:
+            lines = [(t or "").split("\n") for t in b.column("text").to_pylist()]
+            found = [across(own, shared.value) for own in lines]
+            ends = pa.array([not own[-1].rstrip() for own in lines], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEYS), pa.array(found, pa.list_(pa.float64())), ends], names=[*KEYS, "over", "ends_blank"])
+
+    def fold(batches):
+        for b in batches:
+            found = [borders([(x["over"], x["ends_blank"]) for x in blocks]) for blocks in b.column("blocks").to_pylist()]
+            kind = pa.list_(pa.struct([("before", pa.int32()), ("last", pa.int32()), ("blank", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array([[dict(zip(("before", "last", "blank"), x)) for x in f] for f in found], kind)], names=["conv_id", "part", "found"])
+
+    kind = transcripts.schema["conv_id"].dataType.simpleString()
+    several = transcripts.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter("n > 1 and conv_id is not null").select("conv_id", "part")
+    long = transcripts.select(*KEYS, "text").join(several, ["conv_id", "part"], "left_semi")
+    small = long.mapInArrow(over, f"conv_id {kind}, part long, block {BLOCK}, over array<double>, ends_blank boolean")
+    # half a KB for each block of TURNS turns
+    whole = small.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("block", "over", "ends_blank"))).alias("blocks"))
+    fixed = whole.select("conv_id", "part", "blocks").mapInArrow(fold, f"conv_id {kind}, part long, found array<struct<before:int,last:int,blank:boolean>>")
+    at = whole.select("conv_id", "part", F.transform("blocks", lambda x: x["block"]).alias("at")).join(fixed, ["conv_id", "part"])
+    each = at.select("conv_id", "part", F.explode(F.arrays_zip("at", "found")).alias("x"))
+    return each.select("conv_id", "part", F.col("x.at").alias("block"), "x.found.before", "x.found.last", "x.found.blank")
+
+
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
-    """`transcripts` (conv_id, block, part, text) with n_lines, n_turns, roles, rendered and the
+    """`transcripts` (conv_id, part, block, text) with n_lines, n_turns, roles, rendered and the
     state found for each line."""
     bounded_batches(transcripts.sparkSession)
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
@@ -167,14 +242,17 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for text in b.column("text").to_pylist():
+            for text, before, last, blank in zip(*(b.column(c).to_pylist() for c in ("text", "before", "last", "blank"))):
                 lines = (text or "").split("\n")
-                path = viterbi(features(lines), shared.value)
+                path = viterbi(features(lines, before < 0, blank), shared.value, before, last)
                 roles, rendered = render(lines, path)
                 out.append((len(lines), len(roles), "|".join(roles), rendered, path.tolist()))
             columns = list(zip(*out)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "block", "part")), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["conv_id", "block", "part", "n_lines", "n_turns", "roles", "rendered", "found"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEYS), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*KEYS, "n_lines", "n_turns", "roles", "rendered", "found"])
 
     kind = transcripts.schema["conv_id"].dataType.simpleString()
-    return transcripts.select("conv_id", "block", "part", "text").mapInArrow(run, f"conv_id {kind}, block long, part long, n_lines long, n_turns long, roles string, rendered string, found array<int>")
+    known = transcripts.select(*KEYS, "text").join(_borders(transcripts, shared), [*KEYS], "left")
+    known = known.select(*KEYS, "text", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("blank", F.lit(False)).alias("blank"))
+    found = known.mapInArrow(run, f"conv_id {kind}, part long, block {BLOCK}, n_lines long, n_turns long, roles string, rendered string, found array<int>")
+    return found
