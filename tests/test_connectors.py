@@ -49,3 +49,21 @@ def test_sinks_twice(spark, tmp_path):
     old = spark.createDataFrame([("a", 1, 9.0), ("c", 3, 1.0)], "k string, seen int, score double")
     new = spark.createDataFrame([("a", 5, 4.0), ("b", 6, 2.0)], "k string, seen int, score double")
     assert sorted(map(tuple, C.upserted(old, new, "k", ["seen"], ["score"]).collect())) == [("a", 1, 9.0), ("b", 6, 2.0), ("c", 3, 1.0)]
+
+
+def test_snapshots_children_and_streaks(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    rows = lambda *x: spark.createDataFrame(x, "subject string, score double")
+    C.append_snapshot(rows(("a", 1.0)), path, "2024-01-01")
+    C.append_snapshot(rows(("a", 2.0)), path, "2024-01-02")
+    C.append_snapshot(rows(("a", 2.0)), path, "2024-01-02")
+    assert sorted((r["subject"], r["score"]) for r in spark.read.parquet(path).collect()) == [("a", 1.0), ("a", 2.0)]
+    path = str(tmp_path / "children")
+    child = lambda *x: spark.createDataFrame(x, "parent string, risk string")
+    C.replace_children(child(*((f"p{i}", r) for i in range(9) for r in "xy")), path, "parent", buckets=2)
+    C.replace_children(child(("p1", "z"), ("p9", "x")), path, "parent", buckets=2)
+    got = sorted((r["parent"], r["risk"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted([("p1", "z"), ("p9", "x"), *((f"p{i}", r) for i in range(9) if i != 1 for r in "xy")])
+    runs = [("a", k, k > 2) for k in range(9)] + [("b", k, False) for k in range(3)] + [("c", 0, False), ("c", 1, True)]
+    found = C.failure_streaks(spark.createDataFrame(runs, "source_id string, started_at int, failed boolean"))
+    assert {tuple(r) for r in found.collect()} == {("a", 6, "error"), ("b", 0, "ok"), ("c", 1, "failing")}

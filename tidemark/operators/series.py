@@ -69,10 +69,18 @@ def statistics(obs: DataFrame, window: int = 7, history: int = 30, alpha: float
     v, r = F.col("value"), F.col("r")
     total = obs.groupBy("series").agg(F.count("*").alias("rows"))
     in_history = (r >= 2) & (r <= history + 1)
-    left, right = in_time().rowsBetween(Window.unboundedPreceding, -1), in_time().rowsBetween(0, Window.unboundedFollowing)
-    shift = F.abs(F.avg("value").over(right) - F.avg("value").over(left)) / F.sqrt(F.nullif(F.var_samp("value").over(left) / F.col("i") + F.var_samp("value").over(right) / r, F.lit(0.0)))
+    # both sides of each split from running sums and the series' totals, around its mean, so that no row looks at a whole side
+    whole, left = Window.partitionBy("series"), in_time().rowsBetween(Window.unboundedPreceding, -1)
+    around = v - F.avg("value").over(whole)
+    i, sums, squares = F.col("i"), F.col("sums"), F.col("squares")
+    all_sums, all_squares = F.sum("around").over(whole), F.sum(F.col("around") * F.col("around")).over(whole)
+    noise = 1e-12 * all_squares / (i + r)  # what rounding leaves of a variance of nothing
+    spread = lambda sums, squares, n: (squares - sums * sums / n) / F.nullif(n - 1, F.lit(0)) / n
+    both = spread(sums, squares, i) + spread(all_sums - sums, all_squares - squares, r)
+    shift = F.abs((all_sums - sums) / r - sums / i) / F.sqrt(F.when(both > noise, both))
     split_at = (F.col("i") >= 5) & (F.col("i") < F.col("n") - 5)
-    points = ranked(obs).withColumn("shift", F.when(split_at, F.round(shift, 9)))
+    points = ranked(obs).withColumn("around", around)
+    points = points.withColumns({"sums": F.sum("around").over(left), "squares": F.sum(F.col("around") * F.col("around")).over(left)}).withColumn("shift", F.when(split_at, F.round(shift, 9)))
     agg = points.groupBy("series").agg(
         F.max("n").alias("n"),
         _at(1).alias("last"), _at(2).alias("second"),

@@ -4,6 +4,8 @@ A connector is a function of a DataFrame of raw input to ENVELOPE rows; fetching
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,17 @@ def newer_than(rows: DataFrame, high_water: str | None) -> DataFrame:
     return rows if high_water is None else rows.filter(c("published_at") > F.lit(high_water).cast("timestamp"))
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows read to the end and kept in the folder that all executors share, before their table changes."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+    return rows.checkpoint()
+
+
 def append_new(rows: DataFrame, path: str, keys: list[str], partition: list[str]) -> int:
     """Append the rows whose keys the table at `path` hasn't, each once; the number appended."""
     spark = rows.sparkSession
@@ -110,7 +123,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition: list[str]
     new = rows.dropDuplicates(keys)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         new = new.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
-    new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
+    new = _settled(new)
     n = new.count()
     if n:
         new.write.mode("append").partitionBy(*partition).parquet(path)
@@ -124,3 +137,32 @@ def upserted(state: DataFrame, fresh: DataFrame, key: str, first: list[str], pea
     both = fresh.join(old, fresh[key] == c(f"__{key}"), "full")
     pick = lambda x: F.coalesce(f"__{x}", x) if x in first else F.greatest(x, f"__{x}") if x in peak else F.when(c(key).isNotNull(), c(x)).otherwise(c(f"__{x}"))
     return both.select(*[pick(x).alias(x) for x in fresh.columns])
+
+
+def append_snapshot(rows: DataFrame, path: str, evaluated_at: str) -> None:
+    """Rows as the evaluation of a moment, beside all earlier ones: a partition that is written once. A run that is
+    repeated for the same moment writes the same partition again instead of a second one."""
+    stamped = rows.withColumn("evaluated_at", F.lit(evaluated_at))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("evaluated_at").parquet(path)
+
+
+def replace_children(rows: DataFrame, path: str, parent: str, buckets: int = 64) -> None:
+    """Child rows (risks, conditions, ways in) of the parents in `rows` in place of those they had; other parents keep
+    theirs. The table is partitioned by a hash of the parent, so only partitions with changed parents are written."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(parent), F.lit(buckets)).cast("int"))
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = old.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most `buckets` rows
+        new = new.unionByName(touched.join(rows.select(parent).distinct(), parent, "left_anti").select(new.columns))
+        new = _settled(new)  # read to the end before its own partitions are written over
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def failure_streaks(ledger: DataFrame, limit: int = 5) -> DataFrame:
+    """source_id, streak and state of sources from their runs (source_id, started_at, failed): how many of the latest runs
+    failed in a row, and whether that makes the source an error."""
+    last_good = ledger.filter(~c("failed")).groupBy("source_id").agg(F.max("started_at").alias("good"))
+    since = ledger.join(last_good, "source_id", "left").groupBy("source_id").agg(F.count_if(c("failed") & (c("good").isNull() | (c("started_at") > c("good")))).alias("streak"))
+    return since.withColumn("state", F.when(c("streak") >= limit, "error").when(c("streak") > 0, "failing").otherwise("ok"))
