@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeats
-from .common import bounded_batches, row_key, stored
+from .common import bounded_batches, claim, row_key, stored
 
 GRAM = 64  # bytes of an anchor
 LENGTH, MOST, SHARD_BYTES, BLOCK = 200, 2048, 500_000, 17  # half a MB: the arrays of a shard stay near the processor
@@ -81,6 +81,7 @@ RUNS = "array<struct<first: int, n: int>>"
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def find(batches):
+        claim("byte_dedup")
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             rows, counts = [], []
@@ -114,6 +115,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per_doc = wanted.select("rep.doc_id", "rep.text_hash", F.struct("h", "c", "n", "back", "seen", "hot", F.col("rep.first").alias("first")).alias("x")).groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("xs"))
 
     def cut(batches):
+        claim("byte_dedup")
         for b in batches:
             out = []
             for text, xs in zip(b.column("text").to_pylist(), b.column("xs").to_pylist()):
@@ -147,6 +149,7 @@ def _hot(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with too many contexts for a task, by blocks of windows."""
 
     def blocks(batches):
+        claim("byte_dedup")
         for b in batches:
             out = []
             for x in b.to_pylist():
@@ -161,6 +164,7 @@ def _hot(contexts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("core", pa.binary()), ("whole", pa.binary()), ("bytes", pa.binary())]))
 
     def windows(batches):
+        claim("byte_dedup")
         for b in batches:
             out = []
             for h, x, times in zip(*(b.column(k).to_pylist() for k in ("h", "x", "times"))):
@@ -210,6 +214,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, most: int = MOST, shard_b
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def remove(batches):
+        claim("byte_dedup")
         for b in batches:
             out = []
             for doc, text, spans_ in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "spans"))):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +86,17 @@ _caches: dict[tuple[str, str], Any] = {}
 
 def claim(operator: str, key: str = "", build: Callable[[], Any] | None = None) -> Any:
     """In a Python worker: what `build` gave for this operator and key, kept for later tasks of the
-    worker. Whatever other operators or keys left there is dropped, for workers are reused."""
-    for other in [k for k in _caches if k != (operator, key)]:
+    worker. Whatever other operators or keys left there is dropped and its memory returned, for workers are
+    reused. Every operator's map claims its worker, with or without something to keep."""
+    others = [k for k in _caches if k != (operator, key)]
+    for other in others:
         del _caches[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it: give freed memory back
+        if trim is not None:
+            trim(0)
     if build is not None and (operator, key) not in _caches:
         _caches[operator, key] = build()
     return _caches.get((operator, key))

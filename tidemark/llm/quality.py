@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, claim, stored
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -102,6 +102,7 @@ def references(docs: DataFrame, common: int = COMMON, text_col: str = "text", la
     bounded_batches(docs.sparkSession)
 
     def count(batches):
+        claim("quality")
         for b in batches:
             words: dict[str, Counter] = defaultdict(Counter)
             classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
@@ -206,6 +207,7 @@ def judged(docs: DataFrame, common: int = COMMON, min_words: int = MIN_WORDS, ma
         return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, fits and not failed, *rounded, *([] if full is None else [None if by_band is None else round(by_band, 4), band_lang]))
 
     def run(batches):
+        claim("quality")
         for b in batches:
             rows = [judge(t, lang) for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist())]
             columns = list(zip(*rows)) if rows else [()] * (len(names) - 1)

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, claim
 
 MARK = "▁"  # stands for a space inside the vocabulary
 CACHE = 400_000  # pre-tokens a worker remembers; when full it starts afresh, results don't change
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     shared = spark.sparkContext.broadcast((model, proof(model)))
 
     def run(batches):
+        claim("token_counts")
         counter = Counter(*shared.value)
         for b in batches:
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, claim
 
 ROLES = ("system", "user", "assistant")
 TURNS = 512
@@ -156,6 +156,7 @@ def labelled(conversations: DataFrame, names: tuple[tuple[str, str, str], ...] =
     blocks = rows.groupBy("conv_id", "part", "block").agg(turns, style)
 
     def lay_out(batches):
+        claim("transcripts")
         for b in batches:
             texts, states = [], []
             for turns, style in zip(b.column("turns").to_pylist(), b.column("style").to_pylist()):
@@ -182,6 +183,7 @@ def fit(transcripts: DataFrame) -> Model:
     """Counts over the first blocks of transcripts (block, text, states), each with one added."""
 
     def count(batches):
+        claim("transcripts")
         total: dict[tuple[int, int, int], int] = {}
         for b in batches:
             for text, states in zip(b.column("text").to_pylist(), b.column("states").to_pylist()):
@@ -209,6 +211,7 @@ def _borders(transcripts: DataFrame, shared: Broadcast) -> DataFrame:
     """conv_id, part, block, before, last, blank for the blocks of conversations that have several."""
 
     def over(batches):
+        claim("transcripts")
         for b in batches:
             lines = [(t or "").split("\n") for t in b.column("text").to_pylist()]
             found = [across(own, shared.value) for own in lines]
@@ -240,6 +243,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     shared = transcripts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("transcripts")
         for b in batches:
             out = []
             for text, before, last, blank in zip(*(b.column(c).to_pylist() for c in ("text", "before", "last", "blank"))):
