@@ -152,7 +152,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def vertices(docs: DataFrame, bands: int, rows: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each different text: vid, v (digest), rep (least id), n (shingles), bands."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, mb=4)
 
     def sign(batches):
         claim("bag_minhash")

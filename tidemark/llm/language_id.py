@@ -36,7 +36,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import bounded_batches, claim, stored
 
 MARK = "▁"
-CACHE = 300_000  # words a worker remembers (some 100 bytes each); when full it starts afresh
+CACHE = 400_000  # words a worker remembers (some 100 bytes each); when full it starts afresh
+TOGETHER = 8192  # words whose sums are taken together, some KB each
 SHORT = 30  # letters; products of so many probabilities are within the range of doubles
 UNKNOWN = 1e-9  # probability of a character without a piece, the same in every language
 _WORD = re.compile(r"[^\W\d_]+")
@@ -152,10 +153,11 @@ class Scorer:
             else:
                 self.place[w], self.known[self.n] = self.n, self.forward(w)
                 self.n += 1
-        if short:
-            self.known[self.n : self.n + len(short)] = self.forward_many(short)
-            self.place.update(zip(short, range(self.n, self.n + len(short))))
-            self.n += len(short)
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            self.known[self.n : self.n + len(some)] = self.forward_many(some)
+            self.place.update(zip(some, range(self.n, self.n + len(some))))
+            self.n += len(some)
 
     def score_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Scores of texts, by groups of a million characters whose new words are learned together."""
@@ -224,7 +226,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trai
 
 def fit(docs: DataFrame, model_path: str, train_rows: int = 10_000, rounds: int = 2, smoothing: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, mb=4)
     pieces = vocabulary(model_path)
     place, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
     words = word_counts(docs, id_col, text_col, lang_col, train_rows)
@@ -256,7 +258,7 @@ def fit(docs: DataFrame, model_path: str, train_rows: int = 10_000, rounds: int
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with __language, struct<lang_pred string, score double>; one map over the rows."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, mb=4)
     shared, name, names = spark.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns
     at = names.index(text_col)
 
