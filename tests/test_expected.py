@@ -1,6 +1,8 @@
 """Results written out by hand, which don't rest on the operators' own constants."""
 
 import datetime
+import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,21 @@ def test_topics_are_named_by_their_words(spark):
     members = spark.createDataFrame([("t", i, "product", n) for i, n in enumerate(["AI agents", "AI agents now", "AI tools"])], "topic string, id int, entity_type string, name string")
     words = spark.createDataFrame([(0, "ai"), (0, "agents"), (1, "ai"), (1, "agents"), (2, "ai"), (2, "tools")], "id int, word string")
     assert [tuple(r) for r in U.topic_attributes(members, words).collect()] == [("t", "ai", "import_distribution", "AI Agents")]
+
+
+def test_greedy_stories_against_a_plain_loop(spark):
+    r, pool = random.Random(4), "alpha bravo delta echo golf hotel india kilo lima mike".split()
+    rows = [(f"s{i % 2}", i, f"src{i % 3}", " ".join(r.sample(pool, 6)), i) for i in range(80)]
+    want = []
+    for subject in ("s0", "s1"):
+        groups: dict[frozenset, list] = {}
+        for _, _, source, title, _ in (x for x in rows if x[0] == subject):
+            groups.setdefault(frozenset(title.split()), []).append(source)
+        name = {g: hashlib.sha256(" ".join(sorted(g)).encode()).hexdigest()[:32] for g in groups}
+        stories: list[list[frozenset]] = []
+        for g in sorted(groups, key=lambda g: (-len(groups[g]), name[g])):
+            near = [s for s in stories if any(len(g & t) >= 0.7 * len(g | t) for t in s)]
+            near[0].append(g) if near else stories.append([g])
+        want += [(subject, name[s[0]], sum(len(groups[g]) for g in s), len({x for g in s for x in groups[g]})) for s in stories]
+    got = U.greedy_stories(spark.createDataFrame(rows, "subject string, record_id int, source_id string, title string, at int"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 10
