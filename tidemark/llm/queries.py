@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, byte_dedup, decontaminate, language_id, line_dedup, packing, quality, token_counts, token_ids, transcripts
+from . import bag_minhash, byte_dedup, decontaminate, importance, language_id, line_dedup, log_bilinear, packing, quality, token_counts, token_ids, transcripts, whitening
 from .common import documents, stored
 
 
@@ -74,4 +74,16 @@ def op10_bwt_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.dedup_bytes(documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op3_transcript_hmm, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup, op2_told_apart)}
+def op11_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.scored(documents(spark, sf_dir))
+
+
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_divergence_quality, op3_transcript_hmm, op4_prefix_decontamination, op5_best_fit_packing, op6_bag_minhash, op7_marginal_language, op8_whole_token_counts, op9_simple8b_ids, op10_bwt_byte_dedup, op11_log_bilinear, op12_feast_whitening, op13_importance_resampling, op2_told_apart)}
