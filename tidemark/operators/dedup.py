@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.places import shared_folder
 
 
 def first_arrival(rows: DataFrame, keys: list[str], order: list[str], store: DataFrame | None = None) -> DataFrame:
@@ -41,11 +42,7 @@ def story_labels(stories: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Every round takes, for all vertices of a label together, the least label among them and their
     neighbours, then the label of that label, so that paths halve; rounds end when no label changes."""
-    spark = stories.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+    shared_folder(stories.sparkSession)
     edges = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = stories.select(F.col("fingerprint").alias("v"), F.col("fingerprint").alias("story"))
     while True:

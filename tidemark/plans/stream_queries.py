@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.places import new_folder
+from ..streaming import ingest as I
+from ..streaming import lifecycles as L
 from ..streaming import streams as T
 
 QUERIES: dict = {}
@@ -42,12 +45,15 @@ def stream_weekly(spark, sf_dir):
     return T.drained(T.weekly(T.events(spark, sf_dir), "event_type"))
 
 
-@query("SELECT DISTINCT event_type || '/' || CAST(user_id % 3 AS VARCHAR) AS series, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute FROM events")
+@query("""SELECT event_type || '/' || CAST(user_id % 3 AS VARCHAR) AS series, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, arg_min(value, event_id) AS value, min(event_id) AS arrived
+FROM events WHERE value IS NOT NULL GROUP BY ALL""")
 def stream_first_values(spark, sf_dir):
-    """The first reading of each minute of a series of users."""
+    """The first reading that arrived for each minute of a series of users, through the store of an ingest stream."""
     series = F.concat_ws("/", "event_type", (F.col("user_id") % 3).cast("string"))
-    found = T.first_values(T.events(spark, sf_dir).select(series.alias("series"), F.date_trunc("minute", "ts").alias("ts")), "30 days")
-    return T.drained(found).select("series", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"))
+    readings = T.events(spark, sf_dir).filter("value is not null").select(series.alias("series"), F.date_trunc("minute", "ts").alias("ts"), "value", F.col("event_id").alias("arrived"))
+    at = new_folder(spark, "ingest")
+    I.ingest(readings, f"{at}/store", f"{at}/state", ["series", "ts"], "arrived")
+    return I.stored(spark, f"{at}/store", readings.schema).select("series", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), "value", "arrived")
 
 
 CLOSED = "e AS (SELECT event_type AS series, ts, value FROM events WHERE date_trunc('hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour')"
@@ -70,3 +76,62 @@ def stream_changes(spark, sf_dir):
 SELECT series, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM fired WHERE ts IS NOT NULL""")
 def stream_cooldown(spark, sf_dir):
     return T.drained(T.cooldown(_values(spark, sf_dir), 24)).select("series", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+MONTHS = """w AS (
+    SELECT o_custkey AS subject, epoch_ms(o_orderdate) // 2592000000 AS b, count(*) AS n, sum(o_totalprice) AS total, count(DISTINCT o_orderpriority) AS sources, min(epoch_ms(o_orderdate)) AS first, max(epoch_ms(o_orderdate)) AS last
+    FROM orders GROUP BY ALL
+), mark AS (SELECT max(epoch_ms(o_orderdate)) - 86400000 AS now FROM orders
+), e AS (
+    SELECT *, row_number() OVER (PARTITION BY subject ORDER BY b) AS k, round(least(100, 15 * n + total / 8000), 2) AS score, least(100, 15 * n + 15 * sources) AS sure,
+        lead(first) OVER (PARTITION BY subject ORDER BY b) AS next_first
+    FROM w WHERE (b + 1) * 2592000000 <= (SELECT now FROM mark)
+)"""
+TOLD = """SELECT subject, strftime(make_timestamp(((b + 1) * 2592000000 - 1) // 1000 * 1000000), '%Y-%m-%d') AS day, state, score, peak, 'evaluation' AS cause FROM r
+UNION ALL SELECT subject, strftime(make_timestamp((last + {stale}) * 1000), '%Y-%m-%d'), '{over}', NULL, peak, 'silence' FROM r
+WHERE CASE WHEN next_first IS NULL THEN last + {stale} + 2592000000 < (SELECT now FROM mark) ELSE next_first >= last + {stale} END AND state <> '{over}'"""
+
+
+def _months(spark, sf_dir):
+    """Closed months of thirty days of each customer."""
+    o = T.table(spark, sf_dir, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp")).withWatermark("ts", "1 day")
+    sums = [F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.size(F.collect_set("o_orderpriority")).alias("sources"), F.unix_millis(F.min("ts")).alias("seen_first"), F.unix_millis(F.max("ts")).alias("seen_last")]
+    w = o.groupBy(F.window("ts", "30 days"), F.col("o_custkey").cast("string").alias("subject")).agg(*sums)
+    score, sure = F.round(F.least(F.lit(100.0), 15 * F.col("n") + F.col("total") / 8000), 2), F.least(F.lit(100.0), 15.0 * F.col("n") + 15 * F.col("sources"))
+    return w.select("subject", F.window_time("window").alias("at"), "n", "total", "sources", "seen_first", "seen_last", score.alias("score"), sure.alias("sure"))
+
+
+def _told(stream):
+    return T.drained(stream).select(F.col("subject").cast("bigint").alias("subject"), F.date_format("at", "yyyy-MM-dd").alias("day"), "state", "score", "peak", "cause")
+
+
+@query(f"""WITH RECURSIVE {MONTHS}, x AS (SELECT *, n = 1 AND total > 350000 AS spike, CASE WHEN n = 1 AND total > 350000 THEN 'candidate' WHEN score >= 60 AND sure >= 55 AND sources >= 2 THEN 'confirmed'
+    WHEN score >= 35 AND sure >= 25 THEN CASE WHEN sources < 2 THEN 'candidate' ELSE 'active' END WHEN total < 60000 THEN 'weakening' ELSE 'candidate' END AS alone FROM e
+), r AS (
+    SELECT *, score AS peak, alone AS state FROM x WHERE k = 1
+    UNION ALL SELECT x.*, greatest(r.peak, x.score), CASE WHEN r.state IN ('active', 'confirmed') AND x.first < r.last + 5270400000
+        THEN CASE WHEN x.spike THEN 'invalidated' WHEN greatest(r.peak, x.score) - x.score >= 20 THEN 'weakening' ELSE x.alone END ELSE x.alone END
+    FROM r JOIN x ON x.subject = r.subject AND x.k = r.k + 1
+) {TOLD.format(stale=61 * 86_400_000, over='ended')}""")
+def stream_trend_lifecycle(spark, sf_dir):
+    """Customers followed as trends: a month of orders is an evaluation, two months of silence end them."""
+    m, c = _months(spark, sf_dir), F.col
+    spike, stage = (c("n") == 1) & (c("total") > 350_000), F.when(c("total") < 60_000, "declining").otherwise("emerging")
+    e = m.select("subject", "at", "seen_first", "seen_last", c("score").alias("trend_score"), c("sure").alias("confidence"), c("sources").alias("independent_sources"), stage.alias("stage"), spike.alias("is_one_day_spike"), F.lit(False).alias("is_seasonal"))
+    return _told(L.trend_lifecycle(e, 30 * L.DAY))
+
+
+@query(f"""WITH RECURSIVE {MONTHS}, x AS (SELECT *, CASE WHEN total > 400000 THEN 'invalidated' WHEN score >= 70 AND sure >= 65 AND n < 4 THEN 'strong_evidence' WHEN score >= 55 AND sure >= 45 THEN 'promising'
+    WHEN score >= 35 THEN 'watchlist' ELSE 'candidate' END AS alone FROM e
+), r AS (
+    SELECT *, score AS peak, alone AS state FROM x WHERE k = 1
+    UNION ALL SELECT x.*, greatest(r.peak, x.score), CASE WHEN x.total <= 400000 AND r.state IN ('watchlist', 'promising', 'strong_evidence') AND x.first < r.last + 10454400000 AND greatest(r.peak, x.score) - x.score >= 18
+        THEN 'weakening' ELSE x.alone END
+    FROM r JOIN x ON x.subject = r.subject AND x.k = r.k + 1
+) {TOLD.format(stale=121 * 86_400_000, over='archived')}""")
+def stream_opportunity_lifecycle(spark, sf_dir):
+    """The same months held to the rules of opportunities, which are archived after 120 days of silence."""
+    m, c = _months(spark, sf_dir), F.col
+    risk, doubt = F.when(c("n") >= 4, "very_high").otherwise("moderate"), F.when(c("total") > 400_000, "reject").otherwise("continue_research")
+    e = m.select("subject", "at", "seen_first", "seen_last", c("score").alias("opportunity_score"), c("sure").alias("opportunity_confidence"), risk.alias("risk_level"), doubt.alias("skeptic_status"))
+    return _told(L.opportunity_lifecycle(e, 30 * L.DAY))

@@ -4,12 +4,11 @@ A connector is a function of a DataFrame of raw input to ENVELOPE rows; fetching
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text
+from .places import shared_folder
 
 ENVELOPE = (
     "external_id string, title string, content string, url string, published_at timestamp, metric_name string, metric_value double, metric_unit string, metric_currency string, "
@@ -107,12 +106,7 @@ def newer_than(rows: DataFrame, high_water: str | None) -> DataFrame:
 
 def _settled(rows: DataFrame) -> DataFrame:
     """Rows read to the end and kept in the folder that all executors share, before their table changes."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -1,45 +1,60 @@
 """The stateful behaviours of ingest and scoring as Structured Streaming jobs.
 
 Each function takes a streaming DataFrame and returns one; state is bounded by a watermark or by one
-small row for each key. drained() runs a stream over what there is and reads what it wrote."""
+small row for each key. Steps with state of their own follow an aggregation in the same query: Spark closes event-time
+windows and folds their rows, and folded() keeps one row for each key. drained() runs a stream over what there is and
+reads what it wrote."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
+
+from ..sources.places import new_folder
+
+#: Keys with timers need the store that Spark keeps on the executors' disks, and in the checkpoint.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _written(stream: DataFrame) -> str:
-    """The folder, shared by all executors, to which the stream has written all there is now."""
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-stream-")
-    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
-    return f"{at}/out"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """What the stream gives for all input that is there now."""
-    return stream.sparkSession.read.schema(stream.schema).parquet(_written(stream))
+@contextmanager
+def _with_store(spark: SparkSession) -> Iterator[None]:
+    """A query takes the setting when it starts; the session gets its own back."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+
 
+def run(stream: DataFrame, at: str) -> StreamingQuery:
+    """Write all there is now to at/out, from where the query whose state is in at/state has come to."""
+    with _with_store(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-def relayed(stream: DataFrame) -> DataFrame:
-    """The stream by way of a table: Spark has no steps with state of their own behind an aggregation in one query."""
-    return stream.sparkSession.readStream.schema(stream.schema).parquet(_written(stream))
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What the stream gives for all input that is there now."""
+    at = new_folder(stream.sparkSession, "streams")
+    run(stream, at)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
@@ -60,9 +75,47 @@ def weekly(stream: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return weeks.select(F.col(key).alias("series"), week.alias("week"), "n")
 
 
-def first_values(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """series, ts: each moment of a series once; a reading that comes again, or late within the watermark, is dropped."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["series", "ts"]).select("series", "ts")
+class Fold(StatefulProcessor):
+    """Rows of a key in the order of `at` through `step`, with one row of state and at most one timer.
+
+    step(key, state or None, rows) gives the next state (None: forget the key), rows to put out, and when the timer is
+    due in milliseconds (None: never); expired(key, state, due) gives the same when event time has passed it."""
+
+    def __init__(self, step: Callable, kept: str, out: str, expired: Callable | None = None):
+        self.step, self.kept, self.expired = step, kept, expired
+        self.columns = StructType.fromDDL(out).names
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", self.kept)
+
+    def _moved(self, state: tuple | None, rows: list[tuple], due: int | None, had_timer: bool) -> Iterator[pd.DataFrame]:
+        if had_timer:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(state)
+        if due is not None:
+            self.handle.registerTimer(due)
+        yield pd.DataFrame(rows, columns=self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        # as many rows as windows of the key were closed together
+        ordered = pd.concat(list(rows)).sort_values("at").to_dict("records")
+        yield from self._moved(*self.step(key[0], held, ordered), held is not None and self.expired is not None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._moved(*self.expired(key[0], self.state.get(), expiredTimerInfo.getExpiryTimeInMs()), False)
+
+    def close(self) -> None:
+        pass
+
+
+def folded(stream: DataFrame, key: str, step: Callable, kept: str, out: str, expired: Callable | None = None) -> DataFrame:
+    """`stream` (with its event time in `at`) through a Fold."""
+    return stream.groupBy(key).transformWithStateInPandas(Fold(step, kept, out, expired), out, "Append", "EventTime" if expired else "None")
 
 
 def closed_windows(stream: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -74,30 +127,22 @@ def closed_windows(stream: DataFrame, every: str = "1 hour", late: str = "1 hour
     return windows.select("series", F.col("window.start").alias("start"), F.window_time("window").alias("at"), "rows")
 
 
-def _state(keyed: DataFrame, step, out: str, kept: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """A step over the windows of a series: a small row for each window, and one of state for each series."""
-    keyed = keyed.withWatermark("at", "1 hour") if timeout == GroupStateTimeout.EventTimeTimeout else keyed
-    return keyed.groupBy("series").applyInPandasWithState(step, out, kept, "append", timeout)
-
-
 def ewma(stream: DataFrame, alpha: float = 0.3, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """series, start, n, ewma: the running exponential mean of each series (series, ts, value) behind each
     closed window. A window is folded to its number of rows and what they add; state carries the mean."""
     added = F.aggregate("rows", F.lit(0.0), lambda m, r: (1 - alpha) * m + alpha * r["value"])
-    folded = closed_windows(stream.filter("value is not null"), every, late).select("series", "start", F.size("rows").alias("n"), added.alias("added"), F.col("rows")[0]["value"].alias("first"))
+    windows = closed_windows(stream.filter("value is not null"), every, late).select("series", "start", "at", F.size("rows").alias("n"), added.alias("added"), F.col("rows")[0]["value"].alias("first"))
 
-    def step(key, frames, state: GroupState):
-        n, mean = state.get if state.exists else (0, None)
-        for frame in frames:
-            out = []
-            for w in frame.sort_values("start").itertuples():
-                mean = (w.first if mean is None else mean) * (1 - alpha) ** w.n + w.added  # the first value is its own mean
-                n += int(w.n)
-                out.append((key[0], w.start, n, float(mean)))
-            yield pd.DataFrame(out, columns=["series", "start", "n", "ewma"])
-        state.update((n, mean))
+    def step(key, state, rows):
+        n, mean = state or (0, None)
+        out = []
+        for w in rows:
+            mean = (w["first"] if mean is None else mean) * (1 - alpha) ** w["n"] + w["added"]  # the first value is its own mean
+            n += int(w["n"])
+            out.append((key, w["start"], n, float(mean)))
+        return (n, float(mean)), out, None
 
-    return _state(relayed(folded), step, "series string, start timestamp, n long, ewma double", "n long, mean double")
+    return folded(windows, "series", step, "n long, mean double", "series string, start timestamp, n long, ewma double")
 
 
 def changes(stream: DataFrame, threshold: float = 5.0, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -105,48 +150,40 @@ def changes(stream: DataFrame, threshold: float = 5.0, every: str = "1 hour", la
     the row before. Inside of a window rows are compared with each other, and the first one with the last of
     the window before, which is all that state carries."""
     windows = closed_windows(stream.filter("value is not null"), every, late)
-    pairs = F.zip_with(F.slice("rows", F.lit(1), F.size("rows") - 1), F.slice("rows", F.lit(2), F.size("rows")), lambda a, b: F.struct(b["ts"].alias("ts"), (b["value"] - a["value"]).alias("move")))
-    windows = relayed(windows)
-    inside = windows.select("series", F.explode(F.filter(pairs, lambda p: F.abs(p["move"]) >= threshold)).alias("p")).select("series", "p.ts", "p.move")
-    ends = windows.select("series", F.col("rows")[0]["ts"].alias("ts"), F.col("rows")[0]["value"].alias("first"), F.element_at("rows", -1)["value"].alias("last"))
-
-    def step(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            out = []
-            for w in frame.sort_values("ts").itertuples():
-                if last is not None and abs(w.first - last) >= threshold:
-                    out.append((key[0], w.ts, float(w.first - last)))
-                last = float(w.last)
-            yield pd.DataFrame(out, columns=["series", "ts", "move"])
-        state.update((last,))
-
-    borders = _state(ends, step, "series string, ts timestamp, move double", "last double")
+    pairs = F.zip_with(F.slice("rows", F.lit(1), F.size("rows") - 1), F.slice("rows", F.lit(2), F.size("rows")), lambda a, b: F.struct(F.unix_micros(b["ts"]).alias("at"), (b["value"] - a["value"]).alias("move")))
+    inside = F.filter(pairs, lambda p: F.abs(p["move"]) >= threshold)
+    moved = windows.select("series", "at", F.unix_micros(F.col("rows")[0]["ts"]).alias("begin"), F.col("rows")[0]["value"].alias("first"), F.element_at("rows", -1)["value"].alias("last"), F.to_json(inside).alias("inside"))
+
+    def step(key, state, rows):
+        last = state[0] if state else None
+        out = []
+        for w in rows:
+            border = w["first"] - last if last is not None and abs(w["first"] - last) >= threshold else None
+            out.append((key, int(w["begin"]), border, w["inside"]))
+            last = float(w["last"])
+        return (last,), out, None
+
+    found = folded(moved, "series", step, "last double", "series string, begin long, move double, inside string")
+    both = F.concat(F.array(F.struct(F.col("begin").alias("at"), "move")), F.from_json("inside", "array<struct<at: bigint, move: double>>"))
+    each = found.select("series", F.explode(both).alias("p")).select("series", F.timestamp_micros("p.at").alias("ts"), "p.move").filter("move is not null")
     kind = F.when(F.col("move") > 0, "score_increased").otherwise("score_decreased")
-    return inside.unionByName(borders).select("series", "ts", kind.alias("kind"), F.abs("move").alias("magnitude"))
+    return each.select("series", "ts", kind.alias("kind"), F.abs("move").alias("magnitude"))
 
 
 def cooldown(stream: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
     """series, ts: rows that fire: none within `hours` after one that fired. A window is no longer than an hour or
     the cooldown, so at most one row of it fires: the first from the time on when the series is free, which is
-    the state, and is dropped when that time has passed."""
+    the state, and is dropped by a timer when that time has passed."""
     windows = closed_windows(stream.withColumn("value", F.lit(None).cast("double")), f"{max(1, min(60, hours * 60))} minutes", late)
-    times = windows.select("series", "start", "at", F.array_distinct(F.transform("rows", lambda r: F.unix_micros(r["ts"]))).alias("times"))
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        free = state.get[0] if state.exists else -(1 << 62)
-        for frame in frames:
-            out = []
-            for w in frame.sort_values("start").itertuples():
-                fit = [t for t in w.times if t >= free]
-                if fit:
-                    out.append((key[0], pd.Timestamp(fit[0], unit="us")))
-                    free = int(fit[0]) + hours * 3_600_000_000
-            yield pd.DataFrame(out, columns=["series", "ts"])
-        state.update((free,))
-        state.setTimeoutTimestamp(max(free // 1000, state.getCurrentWatermarkMs() + 1))
-
-    return _state(relayed(times), step, "series string, ts timestamp", "free long", GroupStateTimeout.EventTimeTimeout)
+    times = windows.select("series", "at", F.array_join(F.array_distinct(F.transform("rows", lambda r: F.unix_micros(r["ts"]).cast("string"))), ",").alias("times"))
+
+    def step(key, state, rows):
+        free, out = state[0] if state else -(1 << 62), []
+        for w in rows:
+            fit = next((t for t in map(int, w["times"].split(",")) if t >= free), None)
+            if fit is not None:
+                out.append((key, pd.Timestamp(fit, unit="us")))
+                free = fit + hours * 3_600_000_000
+        return (free,), out, free // 1000 + 1
+
+    return folded(times, "series", step, "free long", "series string, ts timestamp", lambda key, state, due: (None, [], None))
