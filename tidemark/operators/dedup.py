@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.places import shared_folder
+from . import pairs
 
 
 def first_arrival(rows: DataFrame, keys: list[str], order: list[str], store: DataFrame | None = None) -> DataFrame:
@@ -23,18 +24,27 @@ def fingerprinted(headlines: DataFrame) -> DataFrame:
     return headlines.withColumn("tokens", F.array_sort(F.array_distinct(tokens))).withColumn("fingerprint", X.fingerprint(tokens))
 
 
-def near_pairs(stories: DataFrame, threshold: float = 0.7) -> DataFrame:
+def near_pairs(stories: DataFrame, threshold: float = 0.7, most: int = pairs.MOST) -> DataFrame:
     """Pairs of stories (fingerprint, tokens) whose token sets overlap by `threshold` of Jaccard.
 
     Prefix filter: with tokens in order of rarity, two such sets share one of their first
-    n - ceil(threshold n) + 1 tokens; only these are joined, lengths bounded, overlap verified."""
-    seen = stories.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = stories.select("fingerprint", F.explode("tokens").alias("token")).join(seen, "token").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("byrarity"))
-    n = F.size("byrarity")
-    prefix = ranked.select("fingerprint", F.transform("byrarity", lambda x: x["token"]).alias("all"), F.explode(F.slice("byrarity", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("p")).select("fingerprint", "all", F.col("p.token").alias("token"))
-    a, b = prefix.select("token", F.col("fingerprint").alias("a"), F.col("all").alias("x")), prefix.select("token", F.col("fingerprint").alias("b"), F.col("all").alias("y"))
-    fits = (F.col("a") < F.col("b")) & (F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
-    return a.join(b, "token").filter(fits).select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
+    n - ceil(threshold n) + 1 tokens; only these are joined, in blocks, with lengths and places bounded. Candidates are
+    ids; tokens are joined to them to verify the overlap."""
+    tokens = stories.select("fingerprint", F.explode(F.array_distinct("tokens")).alias("token"))
+    ranked = pairs.by_rarity(tokens, "token", "fingerprint")
+    need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9)
+    prefix = ranked.filter(F.col("place") <= F.col("size") - need(F.col("size")) + 1)
+
+    def fits(x, y):
+        """As many tokens as needed can still be common, counted from this one on."""
+        common = F.ceil((x("size") + y("size")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+        longest = F.least(x("size") - x("place"), y("size") - y("place")) + F.least(x("place"), y("place"))
+        return (F.least(x("size"), y("size")) >= F.greatest(x("size"), y("size")) * F.lit(threshold) - 1e-9) & (longest >= common)
+
+    found = pairs.within(prefix, "token", "fingerprint", fits, most).distinct()
+    own = lambda k: stories.select(F.col("fingerprint").alias(k), F.col("tokens").alias(f"{k}_tokens"))
+    scored = found.join(own("a"), "a").join(own("b"), "b").select("a", "b", X.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)
 
 
 def story_labels(stories: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import pairs
 from .dedup import story_labels
 
 
@@ -26,17 +27,25 @@ def resolve(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame, dec
     return m.select("mention_id", F.coalesce("by_id", "by_alias", "by_decision", fresh).alias("entity_id"), how.alias("how"))
 
 
-def look_alikes(entities: DataFrame, least: float = 0.6, top: int = 3) -> DataFrame:
+def look_alikes(entities: DataFrame, least: float = 0.6, top: int = 3, most: int = pairs.MOST) -> DataFrame:
     """a, b, similarity, rank: for each entity (id, name, entity_type) its most similar ones of the type.
 
-    A qualifying pair shares a word or the name without its spaces, so pairs are only formed inside these
-    keys; each pair once, then both ways. Equal names are one entity and not look-alikes."""
+    A pair of at least `least` either has the same name but for spaces, or one holds all words of the
+    other, and then the rarest of them, or their overlap is at least `least`, and then they share one of the rarest
+    words of both that are as many as may be missing, and one more. Only such pairs are formed, of ids and counts;
+    names are joined to what is left. Equal names are one entity and not look-alikes."""
     e = entities.select("id", "entity_type", X.normal_name(F.col("name")).alias("n")).dropDuplicates(["entity_type", "n"])
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), X.squashed(F.col("n")))), F.split("n", " ")))
-    keyed = e.select("*", F.explode(keys).alias("key"))
-    a, b = (keyed.select("entity_type", "key", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, ["entity_type", "key"]).filter("a < b").select("a", "b", "na", "nb").distinct()
-    scored = pairs.select("a", "b", X.name_similarity(F.col("na"), F.col("nb")).alias("similarity")).filter(F.col("similarity") >= least)
+    of_type = lambda key: F.concat_ws("/", "entity_type", key)
+    spaced = pairs.within(e.select("id", of_type(X.squashed(F.col("n"))).alias("key")), "key", "id", most=most)
+    words = e.select("id", "entity_type", F.explode(F.array_distinct(F.split("n", " "))).alias("word")).select("id", of_type("word").alias("key"))
+    ranked = pairs.by_rarity(words, "key", "id")
+    held = pairs.across(ranked.filter("place = 1"), ranked, "key", "id", lambda x, y: x("size") <= y("size"), most)
+    missing = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9)
+    near = pairs.within(ranked.filter(F.col("place") <= missing + 1), "key", "id", lambda x, y: F.least(x("size"), y("size")) >= F.greatest(x("size"), y("size")) * F.lit(least) - 1e-9, most)
+    held = held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = spaced.union(held).union(near).distinct()
+    named = lambda k: e.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"))
+    scored = found.join(named("a"), "a").join(named("b"), "b").select("a", "b", X.name_similarity(F.col("na"), F.col("nb")).alias("similarity")).filter(F.col("similarity") >= least)
     both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= top)
@@ -62,8 +71,20 @@ def topics(entities: DataFrame, stopwords: list[str], most_share: float = 0.4, m
     return labels.join(fits, "story").groupBy(F.col("story").alias("topic")).agg(F.array_join(F.array_sort(F.collect_list("fingerprint")), "|").alias("members"))
 
 
-def cooccurrence(seen: DataFrame, run: str, entity: str, least: int = 3) -> DataFrame:
-    """a, b, runs: unordered pairs of entities that at least `least` runs have in common."""
-    s = seen.select(run, entity).distinct()
-    a, b = s.select(run, F.col(entity).alias("a")), s.select(run, F.col(entity).alias("b"))
-    return a.join(b, run).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("runs")).filter(F.col("runs") >= least)
+def cooccurrence(seen: DataFrame, run: str, entity: str, least: int = 3, most: int = pairs.MOST) -> DataFrame:
+    """a, b, runs: unordered pairs of entities that at least `least` runs have in common.
+
+    With the runs of an entity in order of their size, such a pair shares one that is not among the `least` - 1
+    largest of either, so pairs are formed in these alone; a run that holds nearly everything forms none. The runs
+    that a found pair has in common are then counted from those of the one with fewer."""
+    s = seen.select(F.col(run).alias("run"), F.col(entity).alias("entity")).dropna().distinct()
+    ranked = pairs.by_rarity(s, "run", "entity")
+    found = pairs.within(ranked.filter(F.col("place") <= F.col("size") - (least - 1)), "run", "entity", most=most).distinct()
+    if least == 1:
+        return pairs.within(s, "run", "entity", most=most).groupBy("a", "b").agg(F.count("*").alias("runs"))
+    sizes = ranked.filter("place = 1").select("entity", "size")
+    sized = found.join(sizes.select(F.col("entity").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("entity").alias("b"), F.col("size").alias("nb")), "b")
+    fewer = F.col("na") <= F.col("nb")
+    asked = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("entity"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    shared = asked.join(s, "entity").select("a", "b", F.col("other").alias("entity"), "run").join(s, ["entity", "run"], "left_semi")
+    return shared.groupBy("a", "b").agg(F.count("*").alias("runs")).filter(F.col("runs") >= least)
