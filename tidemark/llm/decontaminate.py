@@ -14,7 +14,7 @@ beyond that the words of the documents are shuffled to them and candidates are j
 their documents, and Spark splits the partitions of frequent words.
 
 Defined results: a null or empty text has no words and is clean; an item without words matches
-nothing; rows that agree in id and text are judged as one and returned each; repeated items and
+nothing; an item with a null id hits words like any other, and isn't among the items; rows that agree in id and text are judged as one and returned each; repeated items and
 items with the same windows each count; an empty benchmark leaves all clean; further columns are
 not returned.
 """
@@ -82,7 +82,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, small: in
         found = placed.join(tokens, "token").select(*key, "pos", "offset", "win", "item_id")
         found = _verified(found.join(docs_words, [found.doc_id.eqNullSafe(docs_words.doc_id), found.text_hash == docs_words.text_hash]).select(found["*"], "words"))
         rows = found.select(*key, F.lit(0).alias("n_words"), *hit).unionByName(docs_words.select(*key, F.size("words").alias("n_words"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("struct<begin:int,n:int>").alias("span")))
-    spans = F.collect_set(F.when(F.col("item_id").isNotNull(), F.col("span")))
+    spans = F.collect_set(F.when(F.col("span.n") > 0, F.col("span")))  # a head's span is empty
     per_doc = rows.groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["n"] - 1))))
     n_hit = F.size(places).cast("long")
