@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,6 +140,53 @@ def test_long_conversation_is_decoded_as_a_whole(spark, monkeypatch):
     assert [s for k in order for s in found[k]] == whole.tolist()
 
 
+def plainly(lines, states):
+    """The turns of a whole transcript as (role, text), in a plain loop."""
+    turns, role = [], None
+    for line, state in zip(lines, states):
+        if state % 2 or state // 2 != role:
+            role = state // 2
+            name = line.split(":")[0].strip("#>*[<|-]\t ") if ":" in line else ""
+            known = name.lower() in transcripts.NAMES and re.fullmatch(r"[\s#>*\[<|\]-]*", line.split(":")[0].replace(name, ""))
+            rest = line.split(":", 1)[1] if known else line
+            turns.append([transcripts.ROLES[role], rest[1:] if known and rest[:1].isspace() else rest])
+        else:
+            turns[-1][1] += "\n" + line
+    return turns
+
+
+BODIES = ["see http://a.example/x for more", "Example: one of them", "plain words\n\nand a second part: with a colon", "Note: a\n  indented", "User experience: good", "q", "", "  https://b.example/?q=a:b", "System: not at all\nAnswer: neither"]
+
+
+@pytest.mark.parametrize("turns", [3, 512])
+def test_rendered_text_is_whole(spark, monkeypatch, turns):
+    """Text of every turn as in a plain loop over the whole transcript, with addresses and words before colons; in blocks
+    the texts of a conversation follow on from each other."""
+    monkeypatch.setattr(transcripts, "TURNS", turns)
+    r = random.Random(11)
+    rows = [(c, k, ("system", "user", "assistant")[0 if not k else 1 + k % 2], r.choice(BODIES)) for c in range(12) for k in range(1 + 2 * c)]
+    raw = transcripts.labelled(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    model = transcripts.fit(transcripts.labelled(spark.read.parquet(f"{SF}/conversations.parquet")))
+    texts, found = defaultdict(dict), defaultdict(dict)
+    for x in raw.collect():
+        texts[x["conv_id"]][tuple(x["block"])] = x["text"]
+    for x in transcripts.parse(raw, model).collect():
+        found[x["conv_id"]][tuple(x["block"])] = x
+    for c, blocks in texts.items():
+        order = sorted(blocks)
+        wanted = plainly("\n".join(blocks[k] for k in order).split("\n"), [s for k in order for s in found[c][k]["found"]])
+        assert "".join(found[c][k]["rendered"] for k in order) == "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in wanted)
+        assert "|".join(found[c][k]["roles"] for k in order if found[c][k]["roles"]) == "|".join(role for role, _ in wanted)
+        assert sum(found[c][k]["n_turns"] for k in order) == len(wanted)
+
+
+def test_only_speakers_names_are_stripped():
+    lines = ["User: hi", "see http://a.example/x for more", "Example: kept", "### Assistant: yes", "User: inside of a turn"]
+    roles, text = transcripts.render(lines, np.array([3, 2, 3, 5, 4]))
+    assert roles == ["user", "user", "assistant"]
+    assert text == "<|user|>\nhi\nsee http://a.example/x for more\n<|end|>\n<|user|>\nExample: kept\n<|end|>\n<|assistant|>\nyes\nUser: inside of a turn\n<|end|>\n"
+
+
 def test_transcripts_of_an_unseen_style(spark):
     """Learned on three ways to mark speakers, held against a fourth whose names are in no table."""
     conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
@@ -160,6 +208,8 @@ def test_decontamination_edges(spark, edges, empty):
         got = {r["doc_id"]: r for r in rows}
         assert len(rows) == len(EDGES)
         assert got[1]["n_hit"] == 12 and got[1]["n_items"] == 2 and got[1]["items_sha256"] == hashlib.sha256(b"1,2").hexdigest()
+        nameless = {r["doc_id"]: r for r in decontaminate.contamination(edges, spark.createDataFrame([(None, LINE), (7, LINE)], "item_id long, text string"), small=small).collect()}
+        assert all(nameless[k]["n_hit"] == got[k]["n_hit"] and nameless[k]["n_items"] == (got[k]["n_hit"] > 0) for k in got)  # hits of an item with a null id
         assert got[None]["contaminated"] and not got[4]["contaminated"] and got[2]["n_words"] == 0 and got[4]["n_words"] == 60_000
     assert decontaminate.contamination(empty, items).count() == 0
     assert not decontaminate.contamination(edges, items.limit(0)).filter("contaminated").count()

@@ -6,13 +6,14 @@ a line is its role and whether it begins a turn. Observed are the kind of marker
 before is blank, the line's length class, its last character's class and whether it is the first;
 given the state these are independent. Probabilities are counts over labelled transcripts with one
 added to each; counts are summed by Spark and number states x values. Viterbi finds the likeliest
-sequence of states, and each turn is rendered as <|role|>, its text without the marker, <|end|>.
+sequence of states, and each turn is rendered as <|role|>, its text without the speaker's name, <|end|>.
 
 A conversation is held in blocks of at most TURNS turns, so that no task needs more of it at once, whatever
 conversation a third of the rows belongs to; its result is a row a block. Decoding isn't cut by that.
 For each block of a long conversation the best score from every state before it to every state at its
 end is computed by itself; folding these small matrices in order gives the states at all borders of the
-best sequence, and with its two borders fixed each block is decoded as a part of it.
+best sequence, and with its two borders fixed each block is decoded as a part of it. A turn that goes on in the next
+block is closed there, so that the blocks' texts in a row are the rendered conversation.
 
 Defined results: equal rows of a conversation are one turn; rows of one turn number follow in the
 order of role and text; a null text is an empty turn; a null or unknown role counts as a
@@ -105,9 +106,9 @@ def across(lines: list[str], model: Model) -> list[float]:
     return out
 
 
-def borders(blocks: list[tuple[list[float], bool]]) -> list[tuple[int, int, bool]]:
+def borders(blocks: list[tuple[list[float], bool]]) -> list[tuple[int, int, bool, bool]]:
     """For the blocks of a conversation (across(), whether its last line is blank): the state before each, at its
-    end, and whether the line before is blank."""
+    end, whether the line before is blank, and whether it is the final one."""
     best, backs, blank = None, [], False
     for flat, own_blank in blocks:
         start, rest = np.array(flat[:STATES]), np.array(flat[STATES:]).reshape(2, STATES, STATES)
@@ -117,23 +118,28 @@ def borders(blocks: list[tuple[list[float], bool]]) -> list[tuple[int, int, bool
     end, out = int(best.argmax()), []
     for k in range(len(backs) - 1, -1, -1):
         before = int(backs[k][0][end]) if k else -1
-        out.append((before, end, backs[k][1]))
+        out.append((before, end, backs[k][1], k == len(backs) - 1))
         end = before
     return out[::-1]
 
 
-def render(lines: list[str], path: np.ndarray) -> tuple[list[str], str]:
-    """Roles of the turns, and the canonical text."""
+def render(lines: list[str], path: np.ndarray, before: int = -1, final: bool = True) -> tuple[list[str], str]:
+    """Roles of the turns that begin here, and the canonical text; before: the state in front of the lines, whose turn is
+    open; final: nothing follows. A line loses the name it begins with only where that is a speaker's and a turn begins;
+    all else of the text stays."""
     roles: list[str] = []
-    turns: list[list[str]] = []
+    parts: list[str] = []
+    last = before // 2 if before >= 0 else -1
     for line, state in zip(lines, path.tolist()):
-        role, begins = ROLES[state // 2], state % 2
-        if begins or not turns or roles[-1] != role:
-            roles.append(role)
-            turns.append([MARKER.sub("", line, count=1)])
+        role, begins = state // 2, state % 2
+        if begins or role != last:
+            m = MARKER.match(line)
+            parts.append(("\n<|end|>\n" if last >= 0 else "") + f"<|{ROLES[role]}|>\n" + (line[m.end() :] if m and m[1].lower() in NAMES else line))
+            roles.append(ROLES[role])
         else:
-            turns[-1].append(line)
-    return roles, "".join(f"<|{r}|>\n{chr(10).join(t).strip()}\n<|end|>\n" for r, t in zip(roles, turns))
+            parts.append("\n" + line)
+        last = role
+    return roles, "".join(parts) + ("\n<|end|>\n" if final else "")
 
 
 #: Ways to mark system, user and assistant.
@@ -180,22 +186,22 @@ def labelled(conversations: DataFrame, names: tuple[tuple[str, str, str], ...] =
 
 
 def fit(transcripts: DataFrame) -> Model:
-    """Counts over the first blocks of transcripts (block, text, states), each with one added."""
+    """Counts over transcripts (block, text, states), each with one added. Steps from one block to the next aren't counted."""
 
     def count(batches):
         claim("transcripts")
         total: dict[tuple[int, int, int], int] = {}
         for b in batches:
-            for text, states in zip(b.column("text").to_pylist(), b.column("states").to_pylist()):
-                seen = features(text.split("\n"))
-                keys = [(-2, states[0], 0), *((-1, x, y) for x, y in zip(states, states[1:]))]
+            for text, states, first in zip(*(b.column(c).to_pylist() for c in ("text", "states", "first"))):
+                seen = features(text.split("\n"), first)
+                keys = [(-2, states[0], 0)] * first + [(-1, x, y) for x, y in zip(states, states[1:])]
                 keys += [(k, s, v) for s, row in zip(states, seen.tolist()) for k, v in enumerate(row)]
                 for key in keys:
                     total[key] = total.get(key, 0) + 1
         columns = [[k[i] for k in total] for i in range(3)]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(total.values(), pa.int64())], names=["what", "state", "value", "n"])
 
-    counts = transcripts.filter("block.high = 0 and block.low = 0").select("text", "states").mapInArrow(count, "what int, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
+    counts = transcripts.select("text", "states", F.expr("block.high = 0 and block.low = 0").alias("first")).mapInArrow(count, "what int, state int, value int, n long").groupBy("what", "state", "value").agg(F.sum("n").alias("n"))
     start, step, emit = np.ones(STATES), np.ones((STATES, STATES)), [np.ones((STATES, n)) for n in VALUES]
     for what, state, value, n in counts.collect():
         if what == -2:
@@ -208,7 +214,7 @@ def fit(transcripts: DataFrame) -> Model:
 
 
 def _borders(transcripts: DataFrame, shared: Broadcast) -> DataFrame:
-    """conv_id, part, block, before, last, blank for the blocks of conversations that have several."""
+    """conv_id, part, block, before, last, blank, final for the blocks of conversations that have several."""
 
     def over(batches):
         claim("transcripts")
@@ -221,8 +227,8 @@ def _borders(transcripts: DataFrame, shared: Broadcast) -> DataFrame:
     def fold(batches):
         for b in batches:
             found = [borders([(x["over"], x["ends_blank"]) for x in blocks]) for blocks in b.column("blocks").to_pylist()]
-            kind = pa.list_(pa.struct([("before", pa.int32()), ("last", pa.int32()), ("blank", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array([[dict(zip(("before", "last", "blank"), x)) for x in f] for f in found], kind)], names=["conv_id", "part", "found"])
+            kind = pa.list_(pa.struct([("before", pa.int32()), ("last", pa.int32()), ("blank", pa.bool_()), ("final", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), pa.array([[dict(zip(("before", "last", "blank", "final"), x)) for x in f] for f in found], kind)], names=["conv_id", "part", "found"])
 
     kind = transcripts.schema["conv_id"].dataType.simpleString()
     several = transcripts.groupBy("conv_id", "part").agg(F.count("*").alias("n")).filter("n > 1 and conv_id is not null").select("conv_id", "part")
@@ -230,10 +236,10 @@ def _borders(transcripts: DataFrame, shared: Broadcast) -> DataFrame:
     small = long.mapInArrow(over, f"conv_id {kind}, part long, block {BLOCK}, over array<double>, ends_blank boolean")
     # half a KB for each block of TURNS turns
     whole = small.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("block", "over", "ends_blank"))).alias("blocks"))
-    fixed = whole.select("conv_id", "part", "blocks").mapInArrow(fold, f"conv_id {kind}, part long, found array<struct<before:int,last:int,blank:boolean>>")
+    fixed = whole.select("conv_id", "part", "blocks").mapInArrow(fold, f"conv_id {kind}, part long, found array<struct<before:int,last:int,blank:boolean,final:boolean>>")
     at = whole.select("conv_id", "part", F.transform("blocks", lambda x: x["block"]).alias("at")).join(fixed, ["conv_id", "part"])
     each = at.select("conv_id", "part", F.explode(F.arrays_zip("at", "found")).alias("x"))
-    return each.select("conv_id", "part", F.col("x.at").alias("block"), "x.found.before", "x.found.last", "x.found.blank")
+    return each.select("conv_id", "part", F.col("x.at").alias("block"), "x.found.before", "x.found.last", "x.found.blank", "x.found.final")
 
 
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
@@ -246,10 +252,10 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         claim("transcripts")
         for b in batches:
             out = []
-            for text, before, last, blank in zip(*(b.column(c).to_pylist() for c in ("text", "before", "last", "blank"))):
+            for text, before, last, blank, final in zip(*(b.column(c).to_pylist() for c in ("text", "before", "last", "blank", "final"))):
                 lines = (text or "").split("\n")
                 path = viterbi(features(lines, before < 0, blank), shared.value, before, last)
-                roles, rendered = render(lines, path)
+                roles, rendered = render(lines, path, before, final)
                 out.append((len(lines), len(roles), "|".join(roles), rendered, path.tolist()))
             columns = list(zip(*out)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
@@ -257,6 +263,6 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
 
     kind = transcripts.schema["conv_id"].dataType.simpleString()
     known = transcripts.select(*KEYS, "text").join(_borders(transcripts, shared), [*KEYS], "left")
-    known = known.select(*KEYS, "text", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("blank", F.lit(False)).alias("blank"))
+    known = known.select(*KEYS, "text", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"), F.coalesce("blank", F.lit(False)).alias("blank"), F.coalesce("final", F.lit(True)).alias("final"))
     found = known.mapInArrow(run, f"conv_id {kind}, part long, block {BLOCK}, n_lines long, n_turns long, roles string, rendered string, found array<int>")
     return found
