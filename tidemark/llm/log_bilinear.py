@@ -308,7 +308,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Model) -> Dat
 
 def scored(docs: DataFrame, own: int = OWN, rare: int = RARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows=1024, mb=4)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     share = F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string")) / FOLDS) % ROUNDS[-1], F.lit(0))
     learned = given.filter(~held_out(F.col("doc_id"))).select("text", share.alias("share"))
