@@ -42,6 +42,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def discard_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: cuts the lineage there,
     so that a lost executor costs no recomputation of what lies before. The table goes when the
@@ -49,8 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
+    discard_at_end(spark, path)
     if (noted := _noted.get()) is not None:
         noted.append(path)
     return spark.read.parquet(path)
