@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bag_minhash, decontaminate, language_id, line_dedup, packing
-from tidemark.llm.common import documents, noting_tables, release, shared_dir
+from tidemark.llm.common import discard_at_end, documents, noting_tables, release, shared_dir
 
 #: A document goes if its best language has less than this part of the posterior.
 MIN_SCORE = 0.5
@@ -111,5 +111,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, step) in enumerate(STAGES):
         step(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        release(spark, [f"{base}/{k - 1}"] if k else [])
     _cleared(spark)
+    discard_at_end(spark, base)
     return docs
