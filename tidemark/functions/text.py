@@ -1,22 +1,23 @@
 """Text expressions: headline and name normalisation, fingerprints, similarity, injection marks, HTML.
 
-All are column expressions; accents are folded by a table of Latin letters, not by Unicode decomposition."""
+All are column expressions; Unicode normal forms are taken in batches, of the texts that hold anything beyond ASCII."""
 
 from __future__ import annotations
 
-from unicodedata import normalize
+import sys
+from unicodedata import combining, normalize
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that don't identify a headline, name endings, letters and their plain forms.
+# Words that don't identify a headline, name endings.
 HEADLINE_STOPWORDS = (
     "a an and are as at be by for from has have how in into is it its of on or that the their they this to was were what when which who will with your you "
     "about after all also amid among any been before between can could may more most new now not over said says than them there these those up via would"
 ).split()
 NAME_SUFFIXES = "inc incorporated corp corporation co ltd limited llc plc sa sarl gmbh ag nv bv holdings holding group company technologies technology labs lab sas spa oy ab as pte pty kk srl sl".split()
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 OUTLET = r"\s+[-|–—]\s+[A-Z][\w .&'’]{1,40}$"
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
 
@@ -35,8 +36,40 @@ INJECTIONS = (
 )
 
 
+def _forms(kind: str, dropped: str = ""):
+    """The Unicode normal form of texts, a batch at once, without the characters `dropped`. (Arrow's own composed
+    forms are left decomposed.)"""
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        found = pa.array([None if t is None else normalize(kind, t) for t in texts.to_pylist()], pa.string())
+        return pc.replace_substring_regex(found, pattern=f"[{dropped}]", replacement="") if dropped else found
+
+    return of
+
+
+def _combining() -> str:
+    """A class of the characters that unicodedata calls combining, as ranges."""
+    marks = [i for i in range(0x300, sys.maxunicode + 1) if combining(chr(i))]
+    ranges, begin = [], marks[0]
+    for a, b in zip(marks, [*marks[1:], 0]):
+        if b != a + 1:
+            ranges.append((begin, a))
+            begin = b
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+_COMBINING = _combining()
+
+
+def _beyond_ascii(text: Column, kind: str, dropped: str = "") -> Column:
+    """The normal form of texts that hold anything beyond ASCII; others aren't sent to it."""
+    return F.coalesce(_forms(kind, dropped)(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)), text)
+
+
 def unaccented(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Compatibility decomposition without combining marks."""
+    return _beyond_ascii(text, "NFKD", _COMBINING)
 
 
 def title_tokens(title: Column) -> Column:
@@ -81,20 +114,9 @@ def name_similarity(a: Column, b: Column) -> Column:
     )
 
 
-def _plain_forms() -> tuple[str, str]:
-    """Characters of the basic plane whose compatibility form is a single printable ASCII character, and these."""
-    pairs = [(chr(i), normalize("NFKC", chr(i))) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000]
-    found = [(a, b) for a, b in pairs if len(b) == 1 and " " <= b <= "~"]
-    return "".join(a for a, _ in found), "".join(b for _, b in found)
-
-
-_ODD, _EVEN = _plain_forms()
-
-
 def cleaned(text: Column) -> Column:
-    """Wide, bold and other forms of ASCII characters as these themselves; invisible characters dropped. Ligatures
-    and other characters that stand for several stay, unlike in full compatibility normalisation."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _ODD, _EVEN), "[\\u200B-\\u200F\\u2028\\u2029\\u2060\\uFEFF\\x00]", "")
+    """Compatibility composition, and invisible characters dropped."""
+    return F.regexp_replace(_beyond_ascii(F.coalesce(text, F.lit("")), "NFKC"), "[\\u200B-\\u200F\\u2028\\u2029\\u2060\\uFEFF\\x00]", "")
 
 
 def _scoped(pattern: str) -> str:
@@ -147,7 +169,7 @@ ENTITIES = {
     "&ndash;": "-",
 }
 # What HTML is cut at.
-SCRIPTS, BREAKS, TAGS, NUMBERS = r"(?is)<{0}[^>]*>.*?</{0}>", r"(?i)<br\s*/?>|</p>", r"<[^>]+>", r"&#(\d+);"
+SCRIPTS, BREAKS, TAGS, NUMBERS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", r"(?i)<br\s*/?>|</p>", r"<[^>]+>", r"&#(\d+);"
 
 
 def _numbered(text: Column) -> Column:
@@ -165,8 +187,7 @@ def _numbered(text: Column) -> Column:
 def html_text(html: Column) -> Column:
     """A lossy reduction of HTML to text."""
     text = F.coalesce(html, F.lit(""))
-    for tag in ("script", "style"):
-        text = F.regexp_replace(text, SCRIPTS.format(tag), " ")
+    text = F.regexp_replace(text, SCRIPTS, " ")  # in one pass: what begins first ends first
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, " ")
     for entity, plain in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(plain))

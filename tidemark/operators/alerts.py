@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs
+
 c = F.col
 
 # Which kinds of change a trigger listens to; None: all.
@@ -45,15 +47,14 @@ def matched(events: DataFrame, rules: DataFrame, now: Column, watched: DataFrame
     at = e.withColumn("on_kind", F.explode("kinds")).drop("kinds")
     bound = by_kind.filter(c("in_country").isNotNull()).withColumn("__at", F.upper("in_country"))
     local = at.withColumn("__at", F.upper(F.coalesce("country", F.lit("")))).join(bound, ["on_kind", "__at"]).drop("__at")
-    pairs = local.unionByName(at.join(by_kind.filter(c("in_country").isNull()), "on_kind"))
-    quiet = F.coalesce(now < c("last_fired_at") + F.make_dt_interval(hours=F.greatest(F.lit(0), c("cooldown_hours"))), F.lit(False))
+    met = local.unionByName(at.join(by_kind.filter(c("in_country").isNull()), "on_kind"))
     if watched is None:
-        seen = pairs.withColumn("is_watched", c("watchlist_id").isNull())
+        seen = met.withColumn("is_watched", c("watchlist_id").isNull())
     else:
         on_list = watched.select("watchlist_id", "subject").distinct().withColumn("listed", F.lit(True))
-        seen = pairs.join(on_list, ["watchlist_id", "subject"], "left").withColumn("is_watched", c("watchlist_id").isNull() | c("listed").isNotNull()).drop("listed")
+        seen = met.join(on_list, ["watchlist_id", "subject"], "left").withColumn("is_watched", c("watchlist_id").isNull() | c("listed").isNotNull()).drop("listed")
     why = (
-        F.when(quiet, "cooldown")
+        F.when(_quiet(now), "cooldown")
         .when(~c("is_watched"), "not_watched")
         .when(c("score") < c("min_score"), "score")
         .when(F.abs(F.coalesce("magnitude", F.lit(0.0))) < c("min_magnitude"), "magnitude")
@@ -62,19 +63,53 @@ def matched(events: DataFrame, rules: DataFrame, now: Column, watched: DataFrame
     return seen.withColumn("why_not", why).drop("on_kind", "is_watched")
 
 
-def personal(pairs: DataFrame, relevance: DataFrame) -> DataFrame:
+def _quiet(now: Column) -> Column:
+    return F.coalesce(now < c("last_fired_at") + F.make_dt_interval(hours=F.greatest(F.lit(0), c("cooldown_hours"))), F.lit(False))
+
+
+def passing(events: DataFrame, rules: DataFrame, now: Column, watched: DataFrame | None = None, most: int = pairs.MOST) -> DataFrame:
+    """The rows of matched() that pass, without forming those that don't.
+
+    A rule is filed under what it asks for: kind of change, country, type and each subject that it watches, or none of
+    these. An event looks under its own, in the shapes of rules that there are, so it meets rules alone whose
+    conditions of this sort it meets; scores and magnitudes are compared where a pair would be formed. Rules under one
+    entry are dealt to blocks of `most`, to which its events go. A condition that an event has no type for holds."""
+    ready = rules_by_kind(rules.filter(~_quiet(now))).withColumnsRenamed({"country": "in_country", "kind": "on_kind"})
+    free = ready.filter(c("watchlist_id").isNull()).withColumn("on_subject", F.lit(None).cast("string"))
+    if watched is not None:
+        lists = watched.select("watchlist_id", c("subject").cast("string").alias("on_subject")).dropna().distinct()
+        free = free.unionByName(ready.join(lists, "watchlist_id").select(free.columns))
+    # once under its type, or none, and once for events without a type
+    typed = free.withColumn("on_type", F.explode(F.array(F.coalesce(F.concat(F.lit("="), "type"), F.lit("*")), F.lit("?"))))
+    asked = [F.when(c("on_kind") == "*", None).otherwise(c("on_kind")), F.upper("in_country"), F.when(c("on_type") != "*", c("on_type")), c("on_subject")]
+    shape = F.concat(*[F.when(x.isNull(), "-").otherwise("+") for x in asked])
+    entry = lambda shape, parts: F.concat_ws("\x01", shape, *[F.coalesce(x, F.lit("-")) for x in parts])
+    filed = typed.withColumn("__entry", entry(shape, asked))
+    shapes = [r[0] for r in typed.select(shape.alias("shape")).distinct().collect()]  # sixteen at most
+    own = [c("kind"), F.upper(F.coalesce("country", F.lit(""))), F.coalesce(F.concat(F.lit("="), "opportunity_type"), F.lit("?")), c("subject").cast("string")]
+    looks = [F.when(F.lit(x[2] == "+") | c("opportunity_type").isNotNull(), entry(F.lit(x), [o if used == "+" else F.lit(None) for o, used in zip(own, x)])) for x in shapes]
+    blocks = pairs._blocks(filed, "__entry", most)
+    right = pairs._dealt(filed, blocks, "__entry", "rule_id").withColumnsRenamed({"__entry": "__at", "__block": "__in"}).drop("on_kind", "on_type", "on_subject", "__blocks")
+    sought = events.withColumn("__entry", F.explode(F.array_compact(F.array(*looks)) if looks else F.array().cast("array<string>"))).join(blocks, "__entry", "left")
+    left = sought.withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1)))
+    fails = (c("score") < c("min_score")) | (F.abs(F.coalesce("magnitude", F.lit(0.0))) < c("min_magnitude"))
+    found = left.join(right, (c("__entry") == c("__at")) & (c("__block") == c("__in")) & ~F.coalesce(fails, F.lit(False)))
+    return found.withColumn("why_not", F.lit(None).cast("string")).drop("__entry", "__block", "__blocks", "__at", "__in")
+
+
+def personal(met: DataFrame, relevance: DataFrame) -> DataFrame:
     """Pairs of matched() judged by the user's relevance too (relevance: user_id, subject, relevance; rules'
     min_relevance): one that isn't known doesn't pass a floor."""
-    known = pairs.join(relevance.select("user_id", "subject", "relevance"), ["user_id", "subject"], "left")
+    known = met.join(relevance.select("user_id", "subject", "relevance"), ["user_id", "subject"], "left")
     low = F.when(c("min_relevance").isNotNull(), F.when(c("relevance").isNull(), "relevance_unknown").when(c("relevance") < c("min_relevance"), "relevance"))
     return known.withColumn("why_not", F.coalesce("why_not", low)).drop("relevance")
 
 
-def fan_out(pairs: DataFrame, links: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+def fan_out(met: DataFrame, links: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
     """A row for each passing pair, channel and address: the application always, others where the rule
     wants them and the user (links: user_id, channel, address, verified) has proved to own them. dedupe_key
     is the same for the same fact, so what is in `delivered` (dedupe_key) isn't told again."""
-    said = pairs.filter(c("why_not").isNull())
+    said = met.filter(c("why_not").isNull())
     key = F.left(F.sha2(F.concat_ws("|", c("rule_id").cast("string"), "subject", "kind", c("event_id").cast("string")), 256), F.lit(48))
     wanted = said.withColumn("key", key).withColumn("channel", F.explode(F.array_union(F.array(F.lit(EVERYWHERE)), F.coalesce("channels", F.array().cast("array<string>")))))
     proved = links.filter("verified").select("user_id", "channel", "address").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import pairs
 from .dedup import story_labels
+from .upkeep import final_survivors
 
 
 def resolve(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def look_alikes(entities: DataFrame, least: float = 0.6, top: int = 3, most: int
 
 
 def merged(children: DataFrame, merges: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Rows of a child table repointed to the survivors (merges: duplicate, survivor)."""
-    m = merges.select(F.col("duplicate").alias(key), "survivor")
+    """Rows of a child table repointed to the final survivors (merges: duplicate, survivor)."""
+    m = final_survivors(merges).select(F.col("duplicate").alias(key), "survivor")
     return children.join(m, key, "left").withColumn(key, F.coalesce("survivor", key)).drop("survivor")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.places import new_folder
 
 c = F.col
 
@@ -55,9 +56,40 @@ def undecided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return candidates.join(ruled, (F.least("a", "b") == c("x")) & (F.greatest("a", "b") == c("y")), "left_anti")
 
 
+def final_survivors(merges: DataFrame) -> DataFrame:
+    """duplicate, survivor: where each merge (duplicate, survivor) leads to in the end.
+
+    Every round follows twice as many merges as the one before, so a chain takes rounds as its logarithm. Of several
+    survivors of a duplicate the least counts; of entities that are merged in a circle the least is the survivor of
+    all, and of those that lead into it."""
+    spark = merges.sparkSession
+    first = merges.dropna().filter("duplicate != survivor").groupBy("duplicate").agg(F.min("survivor").alias("survivor"))
+    # low: the least of the entities on the way up to, and without, the survivor
+    steps = _written(first.select("duplicate", "survivor", c("duplicate").alias("low"), F.lit(False).alias("ended")))
+    rounds = steps.count().bit_length() + 1
+    for _ in range(rounds):
+        further = steps.select(c("duplicate").alias("survivor"), c("survivor").alias("beyond"), c("low").alias("low_beyond"))
+        # one whose survivor is no duplicate has ended; the others go on
+        longer = steps.filter("not ended").join(further, "survivor", "left").select("duplicate", F.coalesce("beyond", "survivor").alias("survivor"), F.least("low", "low_beyond").alias("low"), c("beyond").isNull().alias("ended"))
+        steps = _written(longer.unionByName(steps.filter("ended")))
+        if steps.filter("not ended").isEmpty():
+            break
+    # what hasn't ended behind more steps than there are merges stands, or leads, in a circle
+    circles = steps.filter("not ended").select(c("duplicate").alias("survivor"), c("low").alias("least"))
+    found = steps.join(circles, "survivor", "left").select("duplicate", F.coalesce("least", "survivor").alias("survivor"))
+    return found.filter("duplicate != survivor")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    at = new_folder(df.sparkSession, "merges")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def merged_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
     """Aliases (normalized, entity_type, entity_id, alias) behind merges (duplicate, survivor): moved to the
-    survivor, unless it has the alias already."""
+    final survivor, unless it has the alias already."""
+    merges = final_survivors(merges)
     moved = aliases.join(merges.select(c("duplicate").alias("entity_id"), "survivor"), "entity_id", "left")
     rows = moved.withColumn("own", c("survivor").isNull()).withColumn("entity_id", F.coalesce("survivor", "entity_id")).drop("survivor")
     first = F.min_by(F.struct("alias"), F.struct(~c("own"), "alias"))  # the survivor's own goes before
@@ -67,6 +99,7 @@ def merged_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
 def merged_identifiers(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """Entities (entity_id, ids) behind merges: duplicates are gone, and survivors have their identifiers too,
     where they had none of the kind. Of several duplicates the one with the least id gives it."""
+    merges = final_survivors(merges)
     into = entities.join(merges.select(c("duplicate").alias("entity_id"), "survivor"), "entity_id", "left")
     rows = into.select(F.coalesce("survivor", "entity_id").alias("to"), c("survivor").isNotNull().alias("late"), "entity_id", F.explode_outer("ids").alias("kind", "value"))
     one = rows.groupBy("to", "kind").agg(F.min_by("value", F.struct("late", "entity_id")).alias("value"))

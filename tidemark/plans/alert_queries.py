@@ -59,9 +59,9 @@ def _links(spark, sf_dir):
     return email.union(link("telegram", F.concat(F.lit("t"), k), k % 4 == 0, k % 10)).union(link("telegram", F.concat(F.lit("s"), k), k % 4 < 2, k % 7))
 
 
-def _matched(spark, sf_dir):
+def _matched(spark, sf_dir, match=A.matched):
     watched = _nations(spark, sf_dir).select((c("n_nationkey") % 10).cast("bigint").alias("watchlist_id"), "subject")
-    pairs = A.matched(_events(spark, sf_dir), _rules(spark, sf_dir), F.lit(NOW).cast("timestamp"), watched)
+    pairs = match(_events(spark, sf_dir), _rules(spark, sf_dir), F.lit(NOW).cast("timestamp"), watched)
     known = B.table(spark, sf_dir, "customer").join(_nations(spark, sf_dir), c("c_nationkey") == c("n_nationkey")).filter(c("c_custkey") % 16 != 0)
     return A.personal(pairs, known.select(c("c_custkey").alias("user_id"), "subject", (c("c_custkey") * 31 % 100).alias("relevance")))
 
@@ -88,7 +88,7 @@ def alert_reasons(spark, sf_dir):
         ELSE CASE WHEN k % 4 = 0 THEN ['t' || k, 's' || k] WHEN k % 4 = 1 THEN ['s' || k] ELSE [] END END) AS address FROM wide)
 SELECT k AS rule_id, k AS user_id, event_id, channel, address, left(sha256(k || '|' || subject || '|' || kind || '|' || event_id), 48) || ':' || channel AS dedupe_key FROM addressed""")
 def alert_fan_out(spark, sf_dir):
-    return A.fan_out(_matched(spark, sf_dir), _links(spark, sf_dir)).select("rule_id", "user_id", "event_id", "channel", "address", "dedupe_key")
+    return A.fan_out(_matched(spark, sf_dir, A.passing), _links(spark, sf_dir)).select("rule_id", "user_id", "event_id", "channel", "address", "dedupe_key")
 
 
 ZONES = ("UTC", "America/New_York", "Asia/Kolkata", "Europe/Berlin")

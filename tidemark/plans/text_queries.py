@@ -25,7 +25,7 @@ STOP = ", ".join(f"'{w}'" for w in X.HEADLINE_STOPWORDS)
 HEADLINES = f"""heads AS (
     SELECT doc_id AS record_id, source AS source_id, string_split(text, chr(10))[1] AS title FROM documents
 ), bare AS (
-    SELECT *, lower(regexp_replace(translate(coalesce(title, ''), '{X.ACCENTED}', '{X.PLAIN}'), '\\s+[-|–—]\\s+[A-Z][\\p{{L}}\\p{{N}}_ .&''’]{{1,40}}$', '')) AS low FROM heads
+    SELECT *, lower(regexp_replace(strip_accents(coalesce(title, '')), '\\s+[-|–—]\\s+[A-Z][\\p{{L}}\\p{{N}}_ .&''’]{{1,40}}$', '')) AS low FROM heads
 ), tokened AS (
     SELECT record_id, source_id, list_sort(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(low, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ({STOP})))) AS tokens FROM bare
 ), printed AS (
@@ -102,7 +102,7 @@ def neutralised_text(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", F.md5(X.neutralised(F.col("text"))).alias("digest"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&mdash;', '-'), '&ndash;', '-') AS t FROM b),
 d AS (SELECT page_id, array_to_string(list_transform(list_zip(string_split_regex(t, '&#[0-9]+;'), regexp_extract_all(t, '&#([0-9]+);', 1)), lambda x: x[1] || coalesce(CASE WHEN TRY_CAST(x[2] AS BIGINT) < 1114112 THEN chr(CAST(x[2] AS INT)) WHEN x[2] IS NOT NULL THEN ' ' END, '')), '') AS t FROM c)

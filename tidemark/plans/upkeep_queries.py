@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import entities as E
 from ..operators import upkeep as U
 from ..sources import bindings as B
 
@@ -48,16 +49,17 @@ def undecided_candidates(spark, sf_dir):
     return U.undecided(lines.select(c("l_partkey").alias("a"), c("l_suppkey").alias("b")).distinct(), ruled)
 
 
-ENTITY = "CASE WHEN e % 7 = 3 THEN e - 1 ELSE e END"
+#: Each of three in seven entities is merged into the one before it, so that chains lead to the first of four.
+ENTITY = "CASE WHEN e % 7 IN (3, 4, 5) THEN e - e % 7 + 2 ELSE e END"
 
 
 def _merges(spark, sf_dir):
     ids = B.table(spark, sf_dir, "customer").select((c("c_custkey") % 700).alias("duplicate")).distinct()
-    return ids.filter("duplicate % 7 = 3").withColumn("survivor", c("duplicate") - 1)
+    return ids.filter("duplicate % 7 in (3, 4, 5)").withColumn("survivor", c("duplicate") - 1)
 
 
 @query(f"""WITH a AS (SELECT 'n' || c_custkey % 300 AS normalized, c_mktsegment AS entity_type, c_custkey % 700 AS e, min(c_name) AS alias FROM customer GROUP BY ALL)
-SELECT normalized, entity_type, {ENTITY} AS entity_id, arg_min(alias, CAST(e % 7 = 3 AS INT) || alias) AS alias FROM a GROUP BY ALL""")
+SELECT normalized, entity_type, {ENTITY} AS entity_id, arg_min(alias, CAST(e % 7 IN (3, 4, 5) AS INT) || alias) AS alias FROM a GROUP BY ALL""")
 def merged_aliases(spark, sf_dir):
     k = c("c_custkey")
     rows = B.table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), (k % 300).cast("string")).alias("normalized"), c("c_mktsegment").alias("entity_type"), (k % 700).alias("entity_id")).agg(F.min("c_name").alias("alias"))
@@ -65,7 +67,7 @@ def merged_aliases(spark, sf_dir):
 
 
 @query(f"""WITH own AS (SELECT c_custkey % 700 AS e, c_mktsegment AS kind, min(c_name) AS value FROM customer GROUP BY ALL),
-one AS (SELECT {ENTITY} AS entity_id, kind, arg_min(value, (e % 7 = 3)::INT * 10000 + e) AS value FROM own GROUP BY ALL)
+one AS (SELECT {ENTITY} AS entity_id, kind, arg_min(value, (e % 7 IN (3, 4, 5))::INT * 10000 + e) AS value FROM own GROUP BY ALL)
 SELECT entity_id, string_agg(kind || '=' || value, '|' ORDER BY kind) AS ids FROM one GROUP BY entity_id""")
 def merged_identifiers(spark, sf_dir):
     own = B.table(spark, sf_dir, "customer").groupBy((c("c_custkey") % 700).alias("entity_id"), c("c_mktsegment").alias("kind")).agg(F.min("c_name").alias("value"))
@@ -73,6 +75,14 @@ def merged_identifiers(spark, sf_dir):
     return U.merged_identifiers(entities, _merges(spark, sf_dir)).select("entity_id", _shown(c("ids")).alias("ids"))
 
 
+@query(f"""SELECT {ENTITY} AS entity_id, count(*) AS observations, count(DISTINCT e) AS merged, round(sum(o_totalprice), 2) AS total FROM (SELECT o_custkey % 700 AS e, o_totalprice FROM orders) GROUP BY 1""")
+def merged_series(spark, sf_dir):
+    """Orders as readings of entities, behind the merges: those of a chain are one series."""
+    rows = B.table(spark, sf_dir, "orders").select((c("o_custkey") % 700).alias("entity_id"), (c("o_custkey") % 700).alias("was"), "o_totalprice")
+    sums = [F.count("*").alias("observations"), F.countDistinct("was").alias("merged"), F.round(F.sum("o_totalprice"), 2).alias("total")]
+    return E.merged(rows, _merges(spark, sf_dir)).groupBy("entity_id").agg(*sums)
+
+
 @query("""WITH held AS (SELECT lower(c_name) AS raw, c_mktsegment AS entity_type, min(c_custkey) AS entity_id FROM customer WHERE c_custkey % 3 <> 0 GROUP BY ALL)
 SELECT entity_type, entity_id, 'held' AS how FROM held UNION ALL SELECT c_mktsegment, c_custkey, 'new' FROM customer WHERE c_custkey % 3 = 0""")
 def alias_upkeep(spark, sf_dir):
@@ -116,5 +126,5 @@ def first_gate(spark, sf_dir):
 def greedy_stories(spark, sf_dir):
     """The newest 200 first lines of each source's documents, folded to stories."""
     title = F.substring_index("text", "\n", 1)
-    rows = B.table(spark, sf_dir, "documents").select(c("source").alias("subject"), c("doc_id").alias("record_id"), c("lang").alias("source_id"), F.left(title, F.lit(200)).alias("title"), c("doc_id").alias("at"))
+    rows = B.table(spark, sf_dir, "documents").select(c("source").alias("subject"), c("doc_id").alias("record_id"), c("lang").alias("source_id"), title.alias("title"), c("doc_id").alias("at"))
     return U.greedy_stories(rows)
