@@ -58,14 +58,26 @@ def merged(children: DataFrame, merges: DataFrame, key: str = "entity_id") -> Da
     return children.join(m, key, "left").withColumn(key, F.coalesce("survivor", key)).drop("survivor")
 
 
+def _words(entities: DataFrame, stopwords: list[str], most_share: float) -> tuple[DataFrame, DataFrame]:
+    """Words of each entity (fingerprint, word), and those that two of them, and at most the larger of 3 and `most_share`
+    of all, hold (word, hub: the least of these)."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.isin(stopwords)))
+    held = entities.select(F.col("id").cast("string").alias("fingerprint"), F.explode(words).alias("word"))
+    limit = F.greatest(F.lit(3), F.lit(most_share) * entities.count())
+    return held, held.groupBy("word").agg(F.count("*").alias("df"), F.min("fingerprint").alias("hub")).filter((F.col("df") >= 2) & (F.col("df") <= limit))
+
+
+def telling_words(entities: DataFrame, stopwords: list[str], most_share: float = 0.4) -> DataFrame:
+    """id, word: the words by which topics() connects entities."""
+    held, telling = _words(entities, stopwords, most_share)
+    return held.join(telling, "word").select(F.col("fingerprint").alias("id"), "word")
+
+
 def topics(entities: DataFrame, stopwords: list[str], most_share: float = 0.4, most_members: int = 12) -> DataFrame:
     """topic, members: entities (id, name) connected by words that two of them, and at most the
     larger of 3 and `most_share` of all, hold. Clusters of 2 to most_members stay; members are counted first,
     so that no larger cluster is ever collected."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.isin(stopwords)))
-    held = entities.select(F.col("id").cast("string").alias("fingerprint"), F.explode(words).alias("word"))
-    limit = F.greatest(F.lit(3), F.lit(most_share) * entities.count())
-    telling = held.groupBy("word").agg(F.count("*").alias("df"), F.min("fingerprint").alias("hub")).filter((F.col("df") >= 2) & (F.col("df") <= limit))
+    held, telling = _words(entities, stopwords, most_share)
     pairs = held.join(telling, "word").filter("fingerprint != hub").select(F.col("hub").alias("a"), F.col("fingerprint").alias("b")).distinct()
     labels = story_labels(entities.select(F.col("id").cast("string").alias("fingerprint")), pairs)
     fits = labels.groupBy("story").agg(F.count("*").alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most_members)).select("story")

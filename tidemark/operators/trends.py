@@ -54,6 +54,16 @@ def rollup(profiles: DataFrame, as_of: str, duplication: DataFrame | None = None
     return out.join(duplication, "subject", "left").fillna({"duplication_ratio": 0.0})
 
 
+def on_levels(profiles: DataFrame, members: DataFrame, least: int = 2) -> DataFrame:
+    """Profiles as rows of their subject (entity/...) and of each topic (topic/...) that it is a member of (members:
+    subject, topic), so that one roll-up gives the trends of both. Topics with fewer than `least` series have none."""
+    topics = members.select("subject", F.concat(F.lit("topic/"), "topic").alias("level")).distinct()
+    entities = profiles.select("subject").distinct().withColumn("level", F.concat(F.lit("entity/"), "subject"))
+    rows = profiles.join(entities.unionByName(topics), "subject").withColumn("subject", c("level")).drop("level")
+    few = rows.groupBy("subject").agg(F.count("*").alias("n")).filter((c("n") < least) & c("subject").startswith("topic/")).select("subject")
+    return rows.join(few, "subject", "left_anti")
+
+
 def components() -> dict[str, Column]:
     growth = F.coalesce("growth_30d", "growth_90d")
     none = F.lit(0.0)

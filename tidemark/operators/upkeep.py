@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.places import new_folder
+from ..sources.connectors import upserted
+from ..sources.places import kept
 
 c = F.col
 
@@ -62,16 +63,15 @@ def final_survivors(merges: DataFrame) -> DataFrame:
     Every round follows twice as many merges as the one before, so a chain takes rounds as its logarithm. Of several
     survivors of a duplicate the least counts; of entities that are merged in a circle the least is the survivor of
     all, and of those that lead into it."""
-    spark = merges.sparkSession
     first = merges.dropna().filter("duplicate != survivor").groupBy("duplicate").agg(F.min("survivor").alias("survivor"))
     # low: the least of the entities on the way up to, and without, the survivor
-    steps = _written(first.select("duplicate", "survivor", c("duplicate").alias("low"), F.lit(False).alias("ended")))
+    steps = kept(first.select("duplicate", "survivor", c("duplicate").alias("low"), F.lit(False).alias("ended")), "merges")
     rounds = steps.count().bit_length() + 1
     for _ in range(rounds):
         further = steps.select(c("duplicate").alias("survivor"), c("survivor").alias("beyond"), c("low").alias("low_beyond"))
         # one whose survivor is no duplicate has ended; the others go on
         longer = steps.filter("not ended").join(further, "survivor", "left").select("duplicate", F.coalesce("beyond", "survivor").alias("survivor"), F.least("low", "low_beyond").alias("low"), c("beyond").isNull().alias("ended"))
-        steps = _written(longer.unionByName(steps.filter("ended")))
+        steps = kept(longer.unionByName(steps.filter("ended")), "merges")
         if steps.filter("not ended").isEmpty():
             break
     # what hasn't ended behind more steps than there are merges stands, or leads, in a circle
@@ -80,12 +80,6 @@ def final_survivors(merges: DataFrame) -> DataFrame:
     return found.filter("duplicate != survivor")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    at = new_folder(df.sparkSession, "merges")
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def merged_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
     """Aliases (normalized, entity_type, entity_id, alias) behind merges (duplicate, survivor): moved to the
     final survivor, unless it has the alias already."""
@@ -137,6 +131,21 @@ def topic_attributes(members: DataFrame, words: DataFrame, most: int = 3, share:
     return rows.select("topic", F.array_join("shared", "|").alias("shared"), category.alias("category"), label.alias("label"))
 
 
+def rebuilt_topics(stored: DataFrame, members: DataFrame, found: DataFrame, clusters: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """Topics and their members behind a run of clustering. A topic is known by the words that its members share, so
+    a cluster with the same words is the same topic, whatever its members are by now: it keeps when it was first
+    seen, and gets the run's label and category. Members are only added.
+
+    stored: normalized, label, category, first_seen, last_seen; members: normalized, id; found: topic, shared, category,
+    label of topic_attributes(); clusters: topic, id. Of clusters with the same words the least topic names them."""
+    now = F.lit(at).cast("timestamp")
+    named = found.withColumn("normalized", F.array_join(F.array_sort(F.split("shared", "\\|")), "|"))
+    fresh = named.groupBy("normalized").agg(F.min_by(F.struct("label", "category"), "topic").alias("x")).select("normalized", "x.label", "x.category", now.alias("first_seen"), now.alias("last_seen"))
+    topics = upserted(stored, fresh, "normalized", first=["first_seen"], peak=["last_seen"])
+    own = clusters.join(named.select("topic", "normalized"), "topic").select("normalized", "id")
+    return topics, members.select("normalized", "id").unionByName(own).distinct()
+
+
 def greedy_stories(headlines: DataFrame, threshold: float = 0.7, most: int = 200) -> DataFrame:
     """subject, story, records, sources by greedy folding of each subject's newest `most` headlines (subject,
     record_id, source_id, title, at), which is the operator's feature and bounds a group: equal fingerprints first,

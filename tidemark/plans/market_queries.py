@@ -8,7 +8,9 @@ from ..operators import entities as E
 from ..operators import geography as G
 from ..operators import monitoring as M
 from ..operators import series as S
+from ..operators import upkeep as U
 from ..sources import bindings as B
+from ..sources.places import kept
 from .series_queries import ALL, BUYERS, ORDERS, profile
 
 QUERIES: dict = {}
@@ -66,12 +68,48 @@ def cooccurrence(spark, sf_dir):
     return E.cooccurrence(B.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query(f"""WITH RECURSIVE {NAMES}, held AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM ents),
+ENTS = """ents AS (SELECT p_partkey AS id, lower(replace(p_brand, 'Brand#', 'b')) || 's' || p_size || ' the p' || p_partkey || CASE WHEN p_partkey % 50 < 3 THEN ' x' || p_partkey // 50 ELSE '' END AS name FROM part)"""
+CLUSTERS = f"""{ENTS}, held AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS w FROM ents),
 telling AS (SELECT w FROM held WHERE length(w) >= 2 AND w <> 'the' GROUP BY w HAVING count(*) BETWEEN 2 AND greatest(3, 0.4 * (SELECT count(*) FROM ents))), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM held x JOIN held y USING (w) JOIN telling USING (w)),
-reach AS (SELECT CAST(id AS VARCHAR) AS v, CAST(id AS VARCHAR) AS r FROM ents UNION SELECT v, b FROM reach JOIN e ON r = a), labels AS (SELECT v, min(r) AS topic FROM reach GROUP BY v)
-SELECT topic, string_agg(v, '|' ORDER BY v) AS members FROM labels GROUP BY topic HAVING count(*) BETWEEN 2 AND 60""")
+reach AS (SELECT CAST(id AS VARCHAR) AS v, CAST(id AS VARCHAR) AS r FROM ents UNION SELECT v, b FROM reach JOIN e ON r = a), labels AS (SELECT v, min(r) AS topic FROM reach GROUP BY v),
+clusters AS (SELECT topic, v AS id FROM labels QUALIFY count(*) OVER (PARTITION BY topic) BETWEEN 2 AND 12)"""
+
+
+def _parts(spark, sf_dir):
+    """Parts as entities, named by brand and size; three in fifty share a word with their neighbours too."""
+    k = c("p_partkey")
+    family = F.concat(F.lower(F.replace("p_brand", F.lit("Brand#"), F.lit("b"))), F.lit("s"), c("p_size").cast("string"))
+    more = F.when(k % 50 < 3, F.concat(F.lit(" x"), F.floor(k / 50).cast("string"))).otherwise("")
+    return B.table(spark, sf_dir, "part").select(k.alias("id"), F.concat(family, F.lit(" the p"), k.cast("string"), more).alias("name"))
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT topic, string_agg(id, '|' ORDER BY id) AS members FROM clusters GROUP BY topic")
 def topic_clusters(spark, sf_dir):
-    return E.topics(_names(spark, sf_dir), ["the"], most_members=60)
+    return E.topics(_parts(spark, sf_dir), ["the"])
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, shared AS (SELECT topic, w FROM clusters JOIN held USING (id) JOIN (SELECT topic, count(*) AS n FROM clusters GROUP BY topic) USING (topic) WHERE w IN (SELECT w FROM telling) GROUP BY topic, w, n HAVING count(*) >= 0.6 * n
+    QUALIFY max(count(*) = n) OVER (PARTITION BY topic) = (count(*) = n)),
+named AS (SELECT topic, string_agg(w, '|' ORDER BY w) AS normalized FROM shared GROUP BY topic), own AS (SELECT normalized, id FROM clusters JOIN named USING (topic)),
+old AS (SELECT DISTINCT normalized FROM own WHERE CAST(id AS BIGINT) % 3 = 0), members AS (SELECT normalized, id FROM own UNION SELECT normalized, 'gone' FROM old UNION SELECT 'no|more', '1')
+SELECT normalized, count(*) AS members, strftime(CASE WHEN normalized = 'no|more' OR normalized IN (SELECT normalized FROM old) THEN DATE '2001-01-01' ELSE DATE '2001-08-01' END, '%Y-%m-%d') AS first_seen,
+    CASE normalized WHEN 'no|more' THEN '2001-01-01' ELSE '2001-08-01' END AS last_seen FROM members GROUP BY normalized""")
+def topic_store(spark, sf_dir):
+    """Topics of parts behind a second run: every third part's topic was there before, with a member that has gone since."""
+    parts = _parts(spark, sf_dir)
+    clusters = kept(E.topics(parts, ["the"]).select("topic", F.explode(F.split("members", "\\|")).alias("id")), "topics")
+    words = kept(E.telling_words(parts, ["the"]), "topics")
+    members = clusters.withColumn("entity_type", F.lit("product"))
+    found = kept(U.topic_attributes(members, words), "topics")
+    named = clusters.join(found.select("topic", F.array_join(F.array_sort(F.split("shared", "\\|")), "|").alias("normalized")), "topic")
+    old = named.filter(c("id").cast("bigint") % 3 == 0).select("normalized").distinct()
+    old = old.unionByName(spark.createDataFrame([("no|more",)], "normalized string"))
+    before = F.lit("2001-01-01").cast("timestamp")
+    stored = old.select("normalized", F.lit("old").alias("label"), F.lit("old").alias("category"), before.alias("first_seen"), before.alias("last_seen"))
+    had = old.select("normalized", F.when(c("normalized") == "no|more", "1").otherwise("gone").alias("id"))
+    topics, all_ = U.rebuilt_topics(stored, had, found, clusters, B.AS_OF)
+    day = lambda x: F.date_format(x, "yyyy-MM-dd").alias(x)
+    return all_.groupBy("normalized").agg(F.count("*").alias("members")).join(topics.select("normalized", day("first_seen"), day("last_seen")), "normalized")
 
 
 QUERIES["topic_clusters_all"], ORACLE["topic_clusters_all"] = topic_clusters, ORACLE["topic_clusters"]  # its name before

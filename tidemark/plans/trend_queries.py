@@ -9,8 +9,12 @@ from ..operators import corroboration as C
 from ..operators import series as S
 from ..operators import trends as T
 from ..sources import bindings as B
+from ..sources.places import kept
+from . import text_queries as XQ
 from .series_queries import ALL, profile, rounded
 
+c = F.col
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -86,8 +90,22 @@ def profiles(spark, sf_dir):
 
 
 def trends(spark, sf_dir, known=None):
-    # kept once read: corroboration and roll-up both read the profiles, a row a series
-    return T.scored(T.rollup(known or profiles(spark, sf_dir).persist(), B.AS_OF))
+    # written once: corroboration and roll-up both read the profiles, a row a series
+    return T.scored(T.rollup(known or kept(profiles(spark, sf_dir), "profiles"), B.AS_OF))
+
+
+#: Nations by themselves, and as members of topics: their region, and the half of the nations by number.
+BRIDGE = """bridge AS (SELECT n_name AS subject, 'entity/' || n_name AS level FROM nation UNION ALL SELECT n_name, 'topic/' || r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT n_name, 'topic/half' || n_nationkey % 2 FROM nation UNION ALL SELECT 'nobody', 'topic/nothing')"""
+LEVELS = ROLLED.replace("sig AS (\n    SELECT *, reliability", "own AS (\n    SELECT *, reliability", 1).replace("), corro AS (", f"), {BRIDGE}, sig AS (SELECT own.* REPLACE (level AS subject) FROM own JOIN bridge USING (subject) QUALIFY level LIKE 'entity/%' OR count(*) OVER (PARTITION BY level) >= 2\n), corro AS (", 1)
+LEVELS = LEVELS.replace("-weight, signal_type)", "-weight, signal_type, series)").replace("round(1 / 3.0::DOUBLE * 7, 2) AS c_geographic_spread", "round(least(1, (SELECT count(*) FROM bridge WHERE level = subjects.subject) / 3.0::DOUBLE) * 7, 2) AS c_geographic_spread")
+
+
+def levels(spark, sf_dir):
+    """Trends of nations and of topics, from one pass over the profiles."""
+    n, r = B.table(spark, sf_dir, "nation"), B.table(spark, sf_dir, "region")
+    topic = n.join(r, n.n_regionkey == r.r_regionkey).select(c("n_name").alias("subject"), F.explode(F.array(c("r_name"), F.concat(F.lit("half"), (c("n_nationkey") % 2).cast("string")))).alias("topic"))
+    return T.scored(T.rollup(kept(T.on_levels(profiles(spark, sf_dir), topic), "profiles"), B.AS_OF))
 
 
 def register(name, build, sql, *columns, text=()):
@@ -108,6 +126,23 @@ register("trend_components", trends, ROLLED + " SELECT {} FROM trends", "subject
 register("trend_penalties", trends, ROLLED + " SELECT {} FROM trends", "subject", *[f"p_{k}" for k in T.PENALTIES if k != "duplicate_information"], "penalty_total", text=("subject",))
 register("trend_confidence", trends, ROLLED + " SELECT {} FROM trends", "subject", "t_history", "t_observations", "t_source_quality", "t_independent_sources_part", "t_method_agreement", "t_missing_data_part", "t_stale", "confidence", text=("subject",))
 register("trend_stage", trends, ROLLED + " SELECT {} FROM trends", "subject", "trend_score", "stage", "state", text=("subject", "stage", "state"))
+register("trend_levels", levels, LEVELS + " SELECT {} FROM trends", "subject", "growth_30d", "is_seasonal", "observation_count", "history_days", "raw_score", "penalty_total", "trend_score", "confidence", "stage", "state", text=("subject", "is_seasonal", "stage", "state"))
+
+
+def copied(spark, sf_dir):
+    """Trends of nations with the duplication among the documents of the source of the same number."""
+    n = B.table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), c("n_nationkey").cast("string")).alias("source_id"), c("n_name").alias("subject"))
+    ratio = XQ.dup_ratio(spark, sf_dir).join(F.broadcast(n), "source_id").select("subject", "duplication_ratio")  # a row a nation
+    return T.scored(T.rollup(kept(profiles(spark, sf_dir), "profiles"), B.AS_OF, ratio))
+
+
+COPIED = "WITH RECURSIVE " + ROLLED.removeprefix("WITH ") + ", " + XQ.LABELS + """, ratio AS (SELECT n_name AS subject, CASE WHEN count(*) >= 2 THEN round(1 - count(DISTINCT story) / count(*), 4) ELSE 0 END AS duplication_ratio
+    FROM told JOIN nation ON source_id = 'src' || n_nationkey GROUP BY n_name), fined AS (
+    SELECT * REPLACE (round(least(60, p_tiny_baseline + p_one_day_spike + p_low_quality_sources + p_insufficient_history + p_seasonality + p_missing_data + p_proxy_only + p_single_source + p_duplicate_information), 2) AS penalty_total)
+    FROM (SELECT t.*, coalesce(duplication_ratio, 0) AS duplication_ratio, CASE WHEN duplication_ratio >= 0.4 THEN 12 ELSE 0 END AS p_duplicate_information FROM trends t LEFT JOIN ratio USING (subject)))
+SELECT subject, round(duplication_ratio, 4)::DOUBLE AS duplication_ratio, p_duplicate_information::DOUBLE AS p_duplicate_information, round(penalty_total, 4)::DOUBLE AS penalty_total, round(greatest(0, least(100, raw_score - penalty_total)), 2)::DOUBLE AS trend_score FROM fined"""
+QUERIES["trend_duplication"] = lambda spark, sf_dir: rounded(copied(spark, sf_dir), "subject", "duplication_ratio", "p_duplicate_information", "penalty_total", "trend_score")
+ORACLE["trend_duplication"] = COPIED
 register("trend_page", lambda spark, sf_dir: T.page(trends(spark, sf_dir), "score", 10, 5), ROLLED + " SELECT {}, (SELECT count(*) FROM trends) AS total FROM trends ORDER BY trend_score DESC, subject LIMIT 10 OFFSET 5", "subject", "trend_score", "confidence", text=("subject",))
 QUERIES["trend_page"] = lambda spark, sf_dir: rounded(T.page(trends(spark, sf_dir), "score", 10, 5), "subject", "trend_score", "confidence", "total")
 QUERIES["class_growth"] = lambda spark, sf_dir: C.class_growth(profiles(spark, sf_dir).select("subject", "signal_class", "growth_30d"))

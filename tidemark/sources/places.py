@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """`df` written once to a folder of its own and read again: lost executors cost nothing of what lies before, and no
+    memory is held. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, kind)
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
