@@ -93,7 +93,8 @@ def test_scores_by_definition(spark, docs):
     got = {r["doc_id"]: r["score"] for r in log_bilinear.score(given, counts, words, model).collect()}
     for r in docs.filter("doc_id % 9 = 0").collect():
         assert got[r["doc_id"]] == pytest.approx(score_of(r["text"]), rel=1e-5)
-    everything = [w for w in all_counts] + [next(f"{i}{k}".encode() for i in range(10**6) if zlib.crc32(f"{i}{k}".encode()[-2:]) % 16 == k and f"{i}{k}".encode() not in all_counts) for k in range(16)]
+    unknown = [b"unknown" + bytes([i, j]) for i in range(97, 123) for j in range(97, 123)]
+    everything = [*all_counts, *(next(w for w in unknown if w not in all_counts and zlib.crc32(w[-2:]) % 16 == k) for k in range(16))]
     assert sum(10 ** log10_of(w, 3, 7)[0] for w in everything) == pytest.approx(1, abs=1e-9)
 
 
@@ -109,11 +110,11 @@ def test_score_edges(spark):
 
 
 def test_model_learns_what_follows():
-    """On text where each class is told by the two before, the trained model is far better than frequencies."""
+    """On text where a class is mostly told by the one before, the trained model is far better than frequencies."""
     rng = np.random.default_rng(5)
     seen = [0, 1]
     for _ in range(60_000):
-        seen.append((seen[-1] + 2 * seen[-2] + int(rng.random() < 0.05)) % 7)
+        seen.append((3 * seen[-1] + 1) % 7 if rng.random() < 0.8 else int(rng.integers(7)))
     seen = np.array(seen)
     sizes = np.bincount(seen, minlength=7) + 1.0
     model, log_noise = log_bilinear.Model.starting(sizes, 16), np.log(sizes / sizes.sum()).astype(np.float32)
@@ -123,7 +124,7 @@ def test_model_learns_what_follows():
     one, two, norm = model.normalised()
     i = np.arange(50_300, 60_000)
     mean = (one[seen[i - 1], seen[i]] + two[seen[i - 2], seen[i]] - norm[seen[i - 1], seen[i - 2]]).mean()
-    assert mean > log_noise[seen[i]].mean() + 0.2
+    assert mean > log_noise[seen[i]].mean() + 0.5
     every = np.exp(one[:, None] + two[None] - norm[:, :, None]).sum(2)
     assert np.allclose(every, 1, atol=1e-4)
 
@@ -160,7 +161,7 @@ def assert_white(found, wanted):
         for n, deviation, w, share in own:
             for c in range(len(w)):
                 assert any(r["component"] == c + 1 and r["n"] == n and r["deviation"] == deviation and abs(abs(r["whitened"]) - w[c]) < 1e-8 and abs(r["explained"] - share[c]) < 1e-9 for r in got[i])
-    assert all(r["identity_error"] < 1e-9 for r in found)
+    assert all(r["identity_error"] < 1e-6 for r in found)  # 1e-16 times the quotient of the largest and the smallest eigenvalue
 
 
 def test_whitening(spark):
