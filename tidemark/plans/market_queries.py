@@ -112,7 +112,10 @@ def topic_store(spark, sf_dir):
     return all_.groupBy("normalized").agg(F.count("*").alias("members")).join(topics.select("normalized", day("first_seen"), day("last_seen")), "normalized")
 
 
-QUERIES["topic_clusters_all"], ORACLE["topic_clusters_all"] = topic_clusters, ORACLE["topic_clusters"]  # its name before
+@query(f"WITH RECURSIVE {CLUSTERS.replace(ENTS, NAMES).replace('BETWEEN 2 AND 12', 'BETWEEN 2 AND 60')} SELECT topic, string_agg(id, '|' ORDER BY id) AS members FROM clusters GROUP BY topic")
+def topic_clusters_all(spark, sf_dir):
+    """Parts by their names alone, with clusters of up to 60."""
+    return E.topics(_names(spark, sf_dir), ["the"], most_members=60)
 
 
 FACTS = """facts AS (
