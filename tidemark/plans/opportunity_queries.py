@@ -32,8 +32,8 @@ def _context(spark, sf_dir):
     )
 
 
-def candidates(spark, sf_dir):
-    known = kept(TQ.profiles(spark, sf_dir), "profiles")  # a row a series, read by facts and trends
+def candidates(spark, sf_dir, known=None):
+    known = known or kept(TQ.profiles(spark, sf_dir), "profiles")  # a row a series, read by facts and trends
     p = known.select("subject", "signal_type", "signal_class", c("source_group"), "reliability", "is_proxy", "is_adoption", "growth_30d", F.datediff(F.lit(B.AS_OF).cast("date"), "last_at").alias("days_since_latest"))
     t = TQ.trends(spark, sf_dir, known).select("subject", "is_one_day_spike", "is_seasonal", "state", "stage", "trend_score", "confidence", "observation_count", "missing_count", "history_days")
     rows = O.facts_of(p).join(t, "subject").join(_context(spark, sf_dir), "subject")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import alert_queries, geo_queries, listing_queries, market_queries, opportunity_queries, relevance_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries, upkeep_queries
+from . import alert_queries, analysis_queries, geo_queries, listing_queries, market_queries, opportunity_queries, relevance_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries, upkeep_queries
 
 MODULES = (
     series_queries,
     trend_queries,
     text_queries,
     opportunity_queries,
+    analysis_queries,
     market_queries,
     geo_queries,
     relevance_queries,
