@@ -50,6 +50,49 @@ def page(rows: DataFrame, order: str, key: str, limit: int = 50, offset: int = 0
     return placed.filter(c("place") > offset).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
 
 
+#: Orders of a page of trends: columns, each with the greatest first.
+TREND_ORDERS = {
+    "score": ("trend_score", "confidence"),
+    "confidence": ("confidence", "trend_score"),
+    "newest": ("first_detected_at",),
+    "updated": ("last_evaluated_at",),
+    "acceleration": ("acceleration_pp",),
+}
+
+
+def listed(rows: DataFrame, by: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
+    """Rows offset + 1 to offset + limit in the order of `by` (which ends with a key), their place, and the number of all
+    rows. An empty page has no rows."""
+    found = rows.orderBy(*by).limit(offset + limit)  # each task keeps as many, and only these are brought together
+    placed = found.withColumn("place", F.row_number().over(Window.orderBy(*by)))
+    return placed.filter(c("place") > offset).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+
+
+def trend_listing(
+    trends: DataFrame, order: str = "score", least_score: float | None = None, least_confidence: float | None = None, spikes: bool = True, seasonal: bool = True, limit: int = 50, offset: int = 0, key: str = "subject", **equal
+) -> DataFrame:
+    """A page of trends in one of TREND_ORDERS, nulls last and ties by `key`. `equal` are columns that must have a value
+    (analysis_mode, category, stage, state, geo_scope, subject_type); None is no condition."""
+    hide = tuple(flag for flag, shown in (("is_one_day_spike", spikes), ("is_seasonal", seasonal)) if not shown)
+    found = narrowed(trends, equal, {"trend_score": least_score, "confidence": least_confidence}, hide=hide)
+    return listed(found, [c(k).desc_nulls_last() for k in TREND_ORDERS[order]] + [c(key)], limit, offset)
+
+
+def signal_listing(signals: DataFrame, entities: DataFrame, sources: DataFrame, limit: int = 50, offset: int = 0, **equal) -> DataFrame:
+    """A page of signals (signal_id, entity_id, source_id, signal_type, signal_class, geo_scope) with the names of their
+    entity (entity_id, canonical_name) and source (source_id, slug), by name and type, then by signal_id. A signal whose
+    entity or source isn't stored is in no page. `equal`: entity_id, signal_type, signal_class, geo_scope, source_id."""
+    found = narrowed(signals, equal).join(entities.select("entity_id", c("canonical_name").alias("entity_name")), "entity_id").join(sources.select("source_id", c("slug").alias("source_slug")), "source_id")
+    return listed(found, [c("entity_name"), c("signal_type"), c("signal_id")], limit, offset)
+
+
+def entity_listing(entities: DataFrame, containing: str | None = None, entity_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of entities (entity_id, canonical_name, normalized, entity_type) by name, then by entity_id. `containing` is
+    looked for in lower case inside of the normalised name, every character for itself; an empty one is none."""
+    found = narrowed(entities, {"entity_type": entity_type or None})
+    return listed(found.filter(c("normalized").contains(containing.lower())) if containing else found, [c("canonical_name"), c("entity_id")], limit, offset)
+
+
 def timeline(detected: DataFrame, snapshots: DataFrame, records: DataFrame, most: int = 15) -> DataFrame:
     """subject, at, what, ref of each subject: its detection, its evaluations, and its newest `most` records."""
     place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("at"), "ref"))

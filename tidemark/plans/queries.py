@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alert_queries, analysis_queries, geo_queries, listing_queries, market_queries, opportunity_queries, relevance_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries, upkeep_queries
+from . import alert_queries, analysis_queries, geo_queries, listing_queries, market_queries, opportunity_queries, page_queries, relevance_queries, report_queries, series_queries, stream_queries, text_queries, trend_queries, upkeep_queries
 
 MODULES = (
     series_queries,
@@ -15,6 +15,7 @@ MODULES = (
     relevance_queries,
     alert_queries,
     listing_queries,
+    page_queries,
     upkeep_queries,
     report_queries,
     stream_queries,
