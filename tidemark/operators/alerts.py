@@ -123,9 +123,19 @@ def period(now: Column, frequency: Column, zone: Column) -> Column:
     """struct<key, start, end> of the last completed day or ISO week of a time zone before `now` (UTC): half
     open, its ends are midnights there. Null for other frequencies."""
     today = F.to_date(F.from_utc_timestamp(now, zone))
-    day, week = F.date_sub(today, 1), F.date_sub(F.to_date(F.date_trunc("week", today)), 7)
-    first = F.when(frequency == "daily", day).when(frequency == "weekly", week)
-    last = F.when(frequency == "daily", F.date_add(day, 1)).when(frequency == "weekly", F.date_add(week, 7))
+    first = F.when(frequency == "daily", F.date_sub(today, 1)).when(frequency == "weekly", F.date_sub(F.to_date(F.date_trunc("week", today)), 7))
+    return _span(first, frequency, zone)
+
+
+def period_around(at: Column, frequency: Column, zone: Column) -> Column:
+    """As period(): the day or ISO week of a time zone that holds `at` (UTC)."""
+    today = F.to_date(F.from_utc_timestamp(at, zone))
+    return _span(F.when(frequency == "daily", today).when(frequency == "weekly", F.to_date(F.date_trunc("week", today))), frequency, zone)
+
+
+def _span(first: Column, frequency: Column, zone: Column) -> Column:
+    """struct<key, start, end> of the period whose first day is `first`."""
+    last = F.when(frequency == "daily", F.date_add(first, 1)).when(frequency == "weekly", F.date_add(first, 7))
     iso = F.concat(F.extract(F.lit("YEAROFWEEK"), first).cast("string"), F.lit("-W"), F.lpad(F.extract(F.lit("WEEK"), first).cast("string"), 2, "0"))
     key = F.when(frequency == "daily", F.concat(F.lit("daily:"), first.cast("string"))).when(frequency == "weekly", F.concat(F.lit("weekly:"), iso))
     midnight = lambda d: F.to_utc_timestamp(d.cast("timestamp"), zone)

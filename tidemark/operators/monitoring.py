@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -22,20 +22,25 @@ def check_conditions(conditions: DataFrame, readings: DataFrame, as_of: str, mos
     return conditions.join(seen, "condition_id", "left").select("condition_id", state.alias("state"), F.coalesce("n", F.lit(0)).alias("readings"), F.coalesce("passing", F.lit(0)).alias("passing"))
 
 
-def change_events(history: DataFrame, score_step: float = 5.0, confidence_step: float = 8.0) -> DataFrame:
-    """subject, at, kind, magnitude: what changed between successive rows of a history (subject, at,
-    score, confidence, risk_level, state)."""
-    w = Window.partitionBy("subject").orderBy("at")
-    p = history.withColumns({f"was_{k}": F.lag(k).over(w) for k in ("score", "confidence", "risk_level", "state")}).filter(c("was_score").isNotNull())
+def kinds_of_change(score_step: float = 5.0, confidence_step: float = 8.0) -> Column:
+    """array<struct<kind, magnitude>>: what changed between the was_ columns of a row and its score, confidence,
+    risk_level and state. Where one of both isn't known, nothing did."""
     ds, dc = c("score") - c("was_score"), c("confidence") - c("was_confidence")
     rank = lambda x: F.array_position(F.array(*map(F.lit, RISK)), x)
     dr = rank(c("risk_level")) - rank(c("was_risk_level"))
     event = lambda when, kind, size: F.when(when, F.struct(F.lit(kind).alias("kind"), size.cast("double").alias("magnitude")))
-    events = F.array_compact(F.array(
+    return F.array_compact(F.array(
         event(ds >= score_step, "score_increased", ds), event(ds <= -score_step, "score_decreased", -ds), event(dc >= confidence_step, "confidence_increased", dc), event(dc <= -confidence_step, "confidence_decreased", -dc),
         event(dr > 0, "risk_increased", dr), event(dr < 0, "risk_decreased", -dr), event(c("state") != c("was_state"), "state_changed", F.lit(0.0)),
     ))
-    return p.select("subject", "at", F.explode(events).alias("e")).select("subject", "at", "e.kind", "e.magnitude")
+
+
+def change_events(history: DataFrame, score_step: float = 5.0, confidence_step: float = 8.0) -> DataFrame:
+    """subject, at, kind, magnitude: what changed between successive rows of a history (subject, at,
+    score, confidence, risk_level, state)."""
+    w = Window.partitionBy("subject").orderBy("at")
+    p = history.withColumns({f"was_{k}": F.lag(k).over(w) for k in ("score", "confidence", "risk_level", "state")}).filter(c("was_score").isNotNull())
+    return p.select("subject", "at", F.explode(kinds_of_change(score_step, confidence_step)).alias("e")).select("subject", "at", "e.kind", "e.magnitude")
 
 
 def match_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:

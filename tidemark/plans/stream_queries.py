@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..sources.places import new_folder
 from ..streaming import ingest as I
 from ..streaming import lifecycles as L
+from ..streaming import notices as N
 from ..streaming import streams as T
+from . import alert_queries as AQ
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +137,49 @@ def stream_opportunity_lifecycle(spark, sf_dir):
     risk, doubt = F.when(c("n") >= 4, "very_high").otherwise("moderate"), F.when(c("total") > 400_000, "reject").otherwise("continue_research")
     e = m.select("subject", "at", "seen_first", "seen_last", c("score").alias("opportunity_score"), c("sure").alias("opportunity_confidence"), risk.alias("risk_level"), doubt.alias("skeptic_status"))
     return _told(L.opportunity_lifecycle(e, 30 * L.DAY))
+
+
+#: Orders with an hour of their own, as what their customers hear of.
+ORDERED = "o AS (SELECT *, o_orderdate + to_hours(o_orderkey % 24) AS ts FROM orders), mark AS (SELECT max(epoch_ms(ts)) - 3600000 AS now FROM o)"
+
+
+def _ordered(spark, sf_dir):
+    return T.table(spark, sf_dir, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int")))
+
+
+@query(f"""WITH {ORDERED}, f AS (SELECT o_custkey AS user_id, CASE o_custkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'never' END AS frequency, list_value{AQ.ZONES}[o_custkey % 4 + 1] AS zone, ts FROM o
+), d AS (SELECT *, CAST(timezone(zone, timezone('UTC', ts)) AS DATE) AS today FROM f WHERE frequency <> 'never'), s AS (SELECT user_id, frequency, zone, CASE frequency WHEN 'daily' THEN today ELSE CAST(date_trunc('week', today) AS DATE) END AS first, CASE frequency WHEN 'daily' THEN 1 ELSE 7 END AS days FROM d
+), p AS (SELECT user_id, {AQ.PERIOD}, count(*) AS n FROM s GROUP BY ALL)
+SELECT user_id, key, strftime(start, '%Y-%m-%d %H:%M') AS start, strftime(stop, '%Y-%m-%d %H:%M') AS stop, n FROM p WHERE epoch_ms(stop) < (SELECT now FROM mark)""")
+def stream_digest_periods(spark, sf_dir):
+    """Orders in every local day or week of their customers, over years of four zones, told by timers."""
+    k = F.col("o_custkey")
+    how = F.get(F.array(*map(F.lit, ("daily", "weekly", "never"))), (k % 3).cast("int"))
+    p = T.drained(N.local_periods(_ordered(spark, sf_dir).select(k.alias("user_id"), "ts", how.alias("frequency"), AQ._zone(k).alias("zone"))))
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm")
+    return p.select(F.col("user_id").cast("bigint").alias("user_id"), "key", shown("start").alias("start"), shown("end").alias("stop"), "n")
+
+
+@query(f"""WITH {ORDERED}, h AS (SELECT o_custkey AS subject, ts AS t, round(o_totalprice / 5000, 1) AS score, (o_orderkey * 7 % 100)::DOUBLE AS confidence, list_value('low', 'moderate', 'high', 'very_high')[o_orderkey % 4 + 1] AS risk, o_orderstatus AS state
+    FROM o WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= (SELECT now FROM mark)
+), r AS (SELECT subject, t, score - lag(score) OVER w AS ds, confidence - lag(confidence) OVER w AS dc, list_position(['low', 'moderate', 'high', 'very_high'], risk) - lag(list_position(['low', 'moderate', 'high', 'very_high'], risk)) OVER w AS dr,
+    state <> lag(state) OVER w AS moved FROM h WINDOW w AS (PARTITION BY subject ORDER BY t, score, confidence, risk, state)
+), e AS (SELECT subject, t, 'score_increased' AS kind, ds AS m FROM r WHERE ds >= 5 UNION ALL SELECT subject, t, 'score_decreased', -ds FROM r WHERE ds <= -5 UNION ALL SELECT subject, t, 'confidence_increased', dc FROM r WHERE dc >= 8
+    UNION ALL SELECT subject, t, 'confidence_decreased', -dc FROM r WHERE dc <= -8 UNION ALL SELECT subject, t, 'risk_increased', dr FROM r WHERE dr > 0 UNION ALL SELECT subject, t, 'risk_decreased', -dr FROM r WHERE dr < 0 UNION ALL SELECT subject, t, 'state_changed', 0 FROM r WHERE moved)
+SELECT subject, strftime(t, '%Y-%m-%d %H:%M') AS minute, kind, round(m, 4)::DOUBLE AS magnitude FROM e""")
+def stream_change_events(spark, sf_dir):
+    """Orders of a customer as successive evaluations: changes of score, confidence, risk and state."""
+    k = F.col("o_orderkey")
+    level = F.get(F.array(*map(F.lit, ("low", "moderate", "high", "very_high"))), (k % 4).cast("int"))
+    h = _ordered(spark, sf_dir).select(F.col("o_custkey").alias("subject"), F.col("ts").alias("at"), F.round(F.col("o_totalprice") / 5000, 1).alias("score"), (k * 7 % 100).cast("double").alias("confidence"), level.alias("risk_level"), F.col("o_orderstatus").alias("state"))
+    return T.drained(N.changes(h)).select(F.col("subject").cast("bigint").alias("subject"), F.date_format("at", "yyyy-MM-dd HH:mm").alias("minute"), "kind", F.round("magnitude", 4).alias("magnitude"))
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, runs AS (SELECT o_orderpriority AS rule_id, o_custkey AS user_id, (epoch_ms(ts) // 3600000 + 1) * 3600000 AS run, o_orderkey AS fact FROM o WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= (SELECT now FROM mark)
+), fired AS (SELECT rule_id, user_id, min(run) AS run FROM runs GROUP BY ALL UNION ALL SELECT x.rule_id, x.user_id, min(x.run) FROM fired f JOIN runs x ON x.rule_id = f.rule_id AND x.user_id = f.user_id AND x.run > f.run AND x.run - 1 >= f.run - 1 + 90 * 86400000::BIGINT GROUP BY ALL)
+SELECT rule_id, user_id, CAST(fact AS VARCHAR) AS fact, run FROM fired JOIN runs USING (rule_id, user_id, run)""")
+def stream_alerts(spark, sf_dir):
+    """A rule for each priority and customer, quiet for 90 days behind what it tells; every order comes twice."""
+    o = _ordered(spark, sf_dir).select(F.col("o_orderpriority").alias("rule_id"), F.col("o_custkey").alias("user_id"), "ts", F.col("o_orderkey").alias("fact"), F.lit(24 * 90).alias("cooldown_hours"))
+    told = T.drained(N.told_once(o.unionByName(o)))
+    return told.select("rule_id", F.col("user_id").cast("bigint").alias("user_id"), "fact", (F.unix_millis("at") + 1).alias("run"))
