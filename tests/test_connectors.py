@@ -67,3 +67,14 @@ def test_snapshots_children_and_streaks(spark, tmp_path):
     runs = [("a", k, k > 2) for k in range(9)] + [("b", k, False) for k in range(3)] + [("c", 0, False), ("c", 1, True)]
     found = C.failure_streaks(spark.createDataFrame(runs, "source_id string, started_at int, failed boolean"))
     assert {tuple(r) for r in found.collect()} == {("a", 6, "error"), ("b", 0, "ok"), ("c", 1, "failing")}
+
+
+def test_run_accounts(spark):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    runs = [(1, "a", at(1), at(1, 1), None, False), (2, "a", at(2), None, "down", False), *((k, "a", at(k), at(k), "down", False) for k in range(3, 7)), (7, "b", at(1), at(1), "half", False), (8, "b", at(2), at(2), None, True)]
+    records = [(1, None, False, 1.0, "ok"), (1, None, None, None, "missing"), (1, None, False, None, None), (1, None, True, 2.0, "ok"), (1, "bad", True, 2.0, "ok"), (7, None, False, 1.0, "ok")]
+    df = C.run_accounts(spark.createDataFrame(runs, "run_id int, source_id string, started_at timestamp, finished_at timestamp, error string, is_capped boolean"), spark.createDataFrame(records, "run_id int, reason string, is_duplicate boolean, metric_value double, status string"))
+    got = {r["run_id"]: r for r in df.collect()}
+    assert [got[1][k] for k in ("fetched", "rejected", "duplicate", "stored", "observations", "duration_ms", "run_status", "failures")] == [5, 1, 1, 3, 2, 60_000, "succeeded", 0]
+    assert got[2]["duration_ms"] is None and [got[k]["failures"] for k in range(2, 7)] == [1, 2, 3, 4, 5] and [got[k]["source_status"] for k in (5, 6)] == ["active", "error"]
+    assert got[7]["run_status"] == got[8]["run_status"] == "partial" and got[7]["failures"] == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import listings as L
 from ..sources import bindings as B
+from ..sources import connectors as K
 from ..sources.places import kept
 from . import trend_queries as TQ
 from .series_queries import rounded
@@ -74,3 +75,26 @@ def entity_page(spark, sf_dir):
 QUERIES["entity_page"] = entity_page
 ORACLE["entity_page"] = """WITH found AS (SELECT c_custkey AS entity_id, c_name AS canonical_name FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')), 'er 00'))
 SELECT row_number() OVER (ORDER BY canonical_name, entity_id) AS place, entity_id, canonical_name, (SELECT count(*) FROM found) AS total FROM found QUALIFY place BETWEEN 4 AND 28"""
+
+
+def run_accounts(spark, sf_dir):
+    """Days of an event type as runs of a source; a user's second event of a day is a duplicate, values under 1 are rejected, and days of which most values are low found nothing."""
+    e = B.table(spark, sf_dir, "events").select(c("event_type").alias("source_id"), c("ts").cast("timestamp").alias("ts"), "event_id", "user_id", "value").withColumn("run_id", F.concat_ws("/", "source_id", F.to_date("ts").cast("string")))
+    runs = e.groupBy("run_id", "source_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), (F.count_if(c("value") < 20) * 2 > F.count("*")).alias("low"), F.count("*").alias("n"))
+    runs = kept(runs.select("run_id", "source_id", "started_at", "finished_at", F.when(c("low"), "nothing there").alias("error"), (c("n") > 12).alias("is_capped")), "runs")
+    first = e.groupBy("run_id", "user_id").agg(F.min("event_id").alias("first"))
+    found = e.join(runs.filter("error is null").select("run_id"), "run_id", "left_semi").join(first, ["run_id", "user_id"])
+    records = found.select("run_id", F.when(c("value") < 1, "too small").alias("reason"), (c("event_id") > c("first")).alias("is_duplicate"), F.when(c("value") >= 5, c("value")).alias("metric_value"), F.lit("ok").alias("status"))
+    return K.run_accounts(runs, records).select("run_id", "fetched", "rejected", "duplicate", "stored", "observations", "duration_ms", "run_status", "failures", "source_status")
+
+
+QUERIES["run_accounts"] = run_accounts
+ORACLE["run_accounts"] = """WITH e AS (SELECT event_type AS source_id, event_type || '/' || CAST(ts::DATE AS VARCHAR) AS run_id, * FROM events
+), runs AS (SELECT run_id, source_id, min(ts) AS started, max(ts) AS ended, count(*) FILTER (value < 20) * 2 > count(*) AS low, count(*) > 12 AS capped FROM e GROUP BY ALL
+), marked AS (SELECT *, row_number() OVER (PARTITION BY run_id, user_id ORDER BY event_id) > 1 AS again, coalesce(value < 1, false) AS bad FROM e
+), sums AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (bad) AS rejected, count(*) FILTER (NOT bad AND again) AS duplicate, count(*) FILTER (NOT bad AND NOT again) AS stored, count(*) FILTER (NOT bad AND NOT again AND value >= 5) AS observations
+    FROM marked JOIN runs USING (run_id) WHERE NOT low GROUP BY run_id
+), a AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started, run_id) AS i FROM runs LEFT JOIN sums USING (run_id)
+), b AS (SELECT *, i - coalesce((SELECT max(x.i) FROM a x WHERE x.source_id = a.source_id AND x.i <= a.i AND NOT x.low), 0) AS failures FROM a)
+SELECT run_id, coalesce(fetched, 0) AS fetched, coalesce(rejected, 0) AS rejected, coalesce(duplicate, 0) AS duplicate, coalesce(stored, 0) AS stored, coalesce(observations, 0) AS observations, (epoch_us(ended) - epoch_us(started)) // 1000 AS duration_ms,
+    CASE WHEN low THEN 'failed' WHEN capped THEN 'partial' ELSE 'succeeded' END AS run_status, failures, CASE WHEN failures >= 5 THEN 'error' ELSE 'active' END AS source_status FROM b"""

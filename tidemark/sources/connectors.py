@@ -160,3 +160,24 @@ def failure_streaks(ledger: DataFrame, limit: int = 5) -> DataFrame:
     last_good = ledger.filter(~c("failed")).groupBy("source_id").agg(F.max("started_at").alias("good"))
     since = ledger.join(last_good, "source_id", "left").groupBy("source_id").agg(F.count_if(c("failed") & (c("good").isNull() | (c("started_at") > c("good")))).alias("streak"))
     return since.withColumn("state", F.when(c("streak") >= limit, "error").when(c("streak") > 0, "failing").otherwise("ok"))
+
+
+def run_accounts(runs: DataFrame, records: DataFrame, limit: int = 5) -> DataFrame:
+    """What became of each run (run_id, source_id, started_at, finished_at, error, is_capped): its records (run_id, reason, is_duplicate,
+    metric_value, status) fetched, rejected (with a reason), duplicate, stored, and observations, which are stored records that carry a
+    value or say that there is none; duration_ms; whether it failed (an error and nothing fetched), was partial (an error, or a cap) or
+    succeeded; how many runs of the source have failed in a row by then, and whether that makes the source an error.
+
+    A run without records has zeros; one that isn't finished has no duration. Streaks are told by the last run that didn't fail."""
+    is_rejected, again = c("reason").isNotNull(), F.coalesce("is_duplicate", F.lit(False))
+    measured = c("metric_value").isNotNull() | (F.coalesce("status", F.lit("ok")) != "ok")
+    counted = records.groupBy("run_id").agg(F.count("*").alias("fetched"), F.count_if(is_rejected).alias("rejected"), F.count_if(~is_rejected & again).alias("duplicate"), F.count_if(~is_rejected & ~again).alias("stored"), F.count_if(~is_rejected & ~again & measured).alias("observations"))
+    names = ("fetched", "rejected", "duplicate", "stored", "observations")
+    out = runs.join(counted, "run_id", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in names})
+    out = out.withColumn("duration_ms", F.floor((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000))
+    out = out.withColumn("run_status", F.when(c("error").isNotNull() & (c("fetched") == 0), "failed").when(c("error").isNotNull() | F.coalesce("is_capped", F.lit(False)), "partial").otherwise("succeeded"))
+    by = Window.partitionBy("source_id").orderBy("started_at", "run_id")  # a row a run
+    place = F.row_number().over(by)
+    good = F.max(F.when(c("run_status") != "failed", c("place"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("place", place).withColumn("failures", c("place") - F.coalesce(good, F.lit(0))).drop("place")
+    return out.withColumn("source_status", F.when(c("failures") >= limit, "error").otherwise("active"))
