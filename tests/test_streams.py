@@ -56,6 +56,15 @@ def test_lifecycle(spark, tmp_path, restarts):
     assert told(spark, at) == sorted(WANTED)
 
 
+@pytest.mark.parametrize("last, ends", [(62, []), (63, [("a", 61)])])
+def test_an_end_on_the_watermark_waits(spark, tmp_path, last, ends):
+    """Event time that has come to the day of an end, and not passed it, doesn't tell the end."""
+    given, at = str(tmp_path / "in"), str(tmp_path / "run")
+    land(spark, [("a", 0, 70.0, 60.0, 3, "emerging", False), ("z", last, 5.0, 5.0, 1, "emerging", False)], given)
+    T.run(followed(spark, given), at)
+    assert [row[:2] for row in told(spark, at) if row[4] == "silence"] == ends
+
+
 def test_setting_of_the_session_stays(spark, tmp_path):
     before = spark.conf.get(T.STORE[0], None)
     with T._with_store(spark):
