@@ -76,3 +76,21 @@ def test_near_pairs_with_a_hot_token(spark):
     got = {(r["a"], r["b"]): round(r["similarity"], 6) for r in dedup.near_pairs(spark.createDataFrame(rows, "fingerprint string, tokens array<string>"), most=4).collect()}
     wanted = {(f, g): round(len(set(s) & set(t)) / len(set(s) | set(t)), 6) for (f, s), (g, t) in itertools.combinations(rows, 2) if len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.7}
     assert got == wanted and got
+
+
+def test_small_runs_are_counted_without_their_entities_runs(spark):
+    """Where no run is large, what two entities share is counted where it is formed, and the runs of neither are joined to a pair."""
+    rows = [(f"r{r}", e) for r in range(20) for e in (r % 3, 3, 4)]
+    found = entities.cooccurrence(spark.createDataFrame(rows, "run string, e long"), "run", "e", 3)
+    assert "LeftSemi" not in found._jdf.queryExecution().executedPlan().toString()
+    assert (3, 4, 20) in [tuple(r) for r in found.collect()]
+
+
+@pytest.mark.parametrize("small", [0, 3])
+def test_runs_of_both_kinds(spark, monkeypatch, small):
+    monkeypatch.setattr(entities, "SMALL", small)
+    rng = random.Random(8)
+    rows = [(f"r{r}", e) for r in range(14) for e in range(20) if r == 0 or rng.random() < (0.1 if r < 9 else 0.5)]
+    got = {(r["a"], r["b"]): r["runs"] for r in entities.cooccurrence(spark.createDataFrame(rows, "run string, e long"), "run", "e", 3).collect()}
+    own = {e: {r for r, x in rows if x == e} for e in range(20)}
+    assert got == {(a, b): n for a in own for b in own if a < b and (n := len(own[a] & own[b])) >= 3}
