@@ -67,3 +67,10 @@ def test_passing_rules_are_those_of_the_audit(spark):
         key = lambda df: sorted((x["rule_id"], x["event_id"]) for x in df.collect())
         assert key(found) == key(audit) and found.count() > 50
     assert alerts.passing(e, u.limit(0), F.lit(now)).count() == 0
+
+
+def test_outlets_in_other_letters_and_line_breaks(spark):
+    """An outlet's letters may be any; what follows it, a line break too, makes it part of the headline."""
+    cases = {"Alpha beta gamma - Outлет": "alpha beta gamma", "Alpha beta gamma - Outlet\r": "alpha beta gamma outlet", "Alpha beta gamma -\x0bOutlet": "alpha beta gamma outlet", "Alpha beta gamma - AP": "alpha beta gamma"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: " ".join(r["w"]) for r in df.select("t", X.title_tokens(F.col("t")).alias("w")).collect()} == cases
