@@ -13,6 +13,7 @@ from tidemark.streaming import streams as T
 
 START = dt.datetime(2024, 3, 1)
 HOUR = dt.timedelta(hours=1)
+c = F.col
 
 
 def fed(spark, tmp_path, schema, parts, step):
@@ -82,3 +83,11 @@ def test_local_periods(spark, tmp_path):
             key = (str(user), f"daily:{day}" if how == "daily" else f"weekly:{year}-W{week:02d}", begin, end)
             wanted[key] = wanted.get(key, 0) + 1
     assert sorted((r["user_id"], r["key"], r["start"], r["end"], r["n"]) for r in got) == sorted((*k, n) for k, n in wanted.items())
+
+
+def test_keys_that_share_state(spark, tmp_path, monkeypatch):
+    """The same rows where all keys share one group, with its lists and its timer; and groups are bounded, however many keys there are."""
+    dealt = T.in_groups(spark.range(20_000).select(c("id").cast("string").alias("k")), "k").count().collect()
+    assert len(dealt) <= T.GROUPS and max(r["count"] for r in dealt) < 100
+    monkeypatch.setattr(T, "GROUPS", 1)
+    test_facts_are_told_once(spark, tmp_path / "facts", 40)

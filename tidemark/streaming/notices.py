@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import alerts, monitoring
-from .streams import folded
+from .streams import folded, in_groups, only_timer, put_all
 
 c = F.col
 HISTORY = ("score", "confidence", "risk_level", "state")
@@ -72,8 +72,8 @@ def local_periods(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 class Alerts(StatefulProcessor):
-    """One rule of one user: when it is free again, and which facts it has told. A fact is an entry of its own, looked up
-    without reading the others; a timer takes those away whose time is over."""
+    """Rules of users: until when each is quiet, and which facts it has told, in two lists for a group of rules. What can't
+    matter to a run that is still to come is forgotten, by the group's timer if no run comes."""
 
     columns = ("rule_id", "user_id", "fact", "at")
 
@@ -82,33 +82,41 @@ class Alerts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.free = handle.getValueState("free", "until long")
-        self.told = handle.getMapState("told", "fact string", "at long")
+        self.quiet = handle.getListState("quiet", "rule_id string, user_id string, until long")
+        self.told = handle.getListState("told", "rule_id string, user_id string, fact string, at long")
+
+    def _held(self) -> tuple[dict, dict]:
+        held = lambda state: {tuple(k): v for *k, v in state.get()} if state.exists() else {}
+        return held(self.quiet), held(self.told)
+
+    def _keep(self, quiet: dict, told: dict, mark: int) -> None:
+        """Runs that are still to come are not before the watermark."""
+        quiet = {k: until for k, until in quiet.items() if until > mark}
+        told = {k: at for k, at in told.items() if at + self.remember >= mark}
+        put_all(self.quiet, [(*k, v) for k, v in quiet.items()])
+        put_all(self.told, [(*k, v) for k, v in told.items()])
+        only_timer(self.handle, min((*quiet.values(), *(at + self.remember + 1 for at in told.values())), default=None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        free, out = self.free.get()[0] if self.free.exists() else None, []
-        # as many rows as windows of the rule were closed together, each with its facts
-        for at, cool, facts in pd.concat(list(rows)).sort_values("at")[["at", "cool", "facts"]].itertuples(index=False):
+        (quiet, told), out = self._held(), []
+        # as many rows as windows of the group's rules were closed together, each with its facts
+        for rule, user, at, cool, facts in pd.concat(list(rows)).sort_values("at", kind="stable")[["rule_id", "user_id", "at", "cool", "facts"]].itertuples(index=False):
             now = at.value // 1_000_000
-            if free is not None and now < free:
+            if now < quiet.get((rule, user), now):
                 continue
-            new = [f for f in facts if not (self.told.containsKey((f,)) and now - self.told.getValue((f,))[0] <= self.remember)]
+            new = [f for f in facts if (rule, user, f) not in told or now - told[rule, user, f] > self.remember]
             for f in new:
-                self.told.updateValue((f,), (now,))
-                out.append((key[0], key[1], f, at))
+                told[rule, user, f] = now
+                out.append((rule, user, f, at))
             if new:
-                free = now + max(0, int(cool))
-                self.handle.registerTimer(now + self.remember)
-        if free is not None:
-            self.free.update((free,))
-        yield pd.DataFrame(out, columns=list(self.columns))
+                quiet[rule, user] = now + max(0, int(cool))
+        self._keep(quiet, told, timerValues.getCurrentWatermarkInMs())
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        then = expiredTimerInfo.getExpiryTimeInMs() - self.remember
-        for (fact,), (at,) in list(self.told.iterator()):
-            if at <= then:
-                self.told.removeKey((fact,))
-        yield pd.DataFrame([], columns=list(self.columns))
+        self._keep(*self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -120,9 +128,9 @@ def told_once(passing: DataFrame, every: str = "1 hour", late: str = "1 hour", r
     milliseconds, and is then quiet for its hours; a run that tells nothing new doesn't make it quiet. What comes while it
     is quiet isn't told, and may be later, if it comes again. `at` is the end of the run.
 
-    State by rule and user: one time, and the facts told in `remember`. Rows with a null but in cooldown_hours (0) are left out."""
+    State by rule and user: one time while it is quiet, and the facts told in `remember`. Rows with a null but in cooldown_hours (0) are left out."""
     known = passing.dropna(subset=["rule_id", "user_id", "ts", "fact"]).withColumns({k: c(k).cast("string") for k in ("rule_id", "user_id", "fact")})
     facts = F.array_sort(F.collect_set("fact"))
     windows = known.withWatermark("ts", late).groupBy(F.window("ts", every), "rule_id", "user_id").agg(facts.alias("facts"), F.max(F.coalesce("cooldown_hours", F.lit(0))).alias("hours"))
     runs = windows.select("rule_id", "user_id", F.window_time("window").alias("at"), (c("hours").cast("long") * 3_600_000).alias("cool"), "facts")
-    return runs.groupBy("rule_id", "user_id").transformWithStateInPandas(Alerts(remember), "rule_id string, user_id string, fact string, at timestamp", "Append", "EventTime")
+    return in_groups(runs, "rule_id", "user_id").transformWithStateInPandas(Alerts(remember), "rule_id string, user_id string, fact string, at timestamp", "Append", "EventTime")
