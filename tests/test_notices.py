@@ -91,3 +91,5 @@ def test_keys_that_share_state(spark, tmp_path, monkeypatch):
     assert len(dealt) <= T.GROUPS and max(r["count"] for r in dealt) < 100
     monkeypatch.setattr(T, "GROUPS", 1)
     test_facts_are_told_once(spark, tmp_path / "facts", 40)
+    test_changes_of_every_kind(spark, tmp_path / "changes")
+    test_local_periods(spark, tmp_path / "periods")
