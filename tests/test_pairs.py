@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import dedup, entities, pairs
 
 
@@ -94,3 +96,18 @@ def test_runs_of_both_kinds(spark, monkeypatch, small):
     got = {(r["a"], r["b"]): r["runs"] for r in entities.cooccurrence(spark.createDataFrame(rows, "run string, e long"), "run", "e", 3).collect()}
     own = {e: {r for r, x in rows if x == e} for e in range(20)}
     assert got == {(a, b): n for a in own for b in own if a < b and (n := len(own[a] & own[b])) >= 3}
+
+
+def test_marks_tell_unlike_sets_apart(spark):
+    """Marks differ in no more bits than sets do in tokens, and nearly all pairs that share one token alone differ in too many to be near."""
+    rng = random.Random(9)
+    sets = [sorted({"hot"} | {f"t{rng.randrange(3000)}" for _ in range(rng.randrange(2, 30))}) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>").select("id", *dedup.marks(F.col("tokens"))).collect()
+    own, far = {r["id"]: r[1:] for r in rows}, []
+    for (i, s), (j, t) in itertools.combinations(enumerate(sets), 2):
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(own[i], own[j]))
+        assert bits <= len(set(s) ^ set(t))
+        far.append(bits > 0.3 / 1.7 * (len(s) + len(t)))
+    assert sum(far) > 0.99 * len(far)
+    plan = dedup.near_pairs(spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "fingerprint string, tokens array<string>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan
