@@ -111,3 +111,11 @@ def test_marks_tell_unlike_sets_apart(spark):
     assert sum(far) > 0.99 * len(far)
     plan = dedup.near_pairs(spark.createDataFrame([(str(i), s) for i, s in enumerate(sets)], "fingerprint string, tokens array<string>"))._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan
+
+
+def test_topics_send_nothing_whole_to_all_tasks(spark):
+    """Sides that grow with the input aren't broadcast, however small they are here."""
+    rows = spark.createDataFrame([(i, f"w{i // 2} v{i // 3}") for i in range(60)], "id long, name string")
+    for found in (entities.topics(rows, []), entities.telling_words(rows, [])):
+        found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
